@@ -16,4 +16,39 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM r
 """
 
-ORACLE = {"op1_warc_revisit": OP1}
+OP3 = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+OP9 = """
+WITH RECURSIVE n AS (
+    SELECT source, CAST(count(*) AS DOUBLE) AS n, pow(CAST(count(*) AS DOUBLE), 0.7) AS target FROM documents GROUP BY source
+), r AS (
+    SELECT source, least(200.0, target / (SELECT sum(target) FROM n) * (SELECT sum(n) FROM n) / n) AS rate FROM n
+), c AS (
+    SELECT source, rate, 0 AS i, exp(-rate) AS term, exp(-rate) AS cum FROM r
+    UNION ALL
+    SELECT source, rate, i + 1, term * rate / (i + 1), cum + term * rate / (i + 1) FROM c WHERE i < ceil(rate + 12 * sqrt(rate) + 20)
+), d AS (
+    SELECT *, CAST('0x' || substr(md5(concat_ws('|', '17', coalesce(CAST(doc_id AS VARCHAR), '-'), coalesce(text, '-'))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+    FROM documents
+), k AS (
+    SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.rate, count(*) FILTER (WHERE c.cum <= d.u) AS copies
+    FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL
+)
+SELECT doc_id, text, lang, source, n_chars, rate AS mix_rate, CAST(unnest(range(copies)) AS INTEGER) AS mix_copy,
+       md5(concat_ws('|', 'order17', CAST(doc_id AS VARCHAR), CAST(unnest(range(copies)) AS VARCHAR), md5(coalesce(text, '-')))) AS mix_order
+FROM k
+"""
+
+ORACLE = {"op1_warc_revisit": OP1, "op3_exact_topk": OP3, "op9_poisson_mixing": OP9}

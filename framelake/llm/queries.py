@@ -4,12 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import format_chats
 from .common import table
+from .mixing import replicated
+from .topk import top_k_inner
+from .vocab import token_counts
 from .warc import warc_revisits
 
+#: Where vocabulary files of public tokenizers lie.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def op1_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_revisits(spark, table(spark, sf_dir, "pages")).drop("target_uri")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisit,)}
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_inner(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(spark, table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replicated(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisit, op3_exact_topk, op4_token_counts, op9_poisson_mixing, op10_chat_repair)}
