@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,15 @@ class Workspace:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> Iterator[None]:
+    """Within it, plans that are run hand Python batches of at most so many bytes: for rows that may hold long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -30,6 +30,31 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 10
 """
 
+OP5 = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[])
+        ELSE list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i : i + 4], ' ')) END) AS shingle
+    FROM w
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL
+), e AS (
+    SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)
+), r(a, b) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), l AS (
+    SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN l USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 OP9 = """
 WITH RECURSIVE n AS (
     SELECT source, CAST(count(*) AS DOUBLE) AS n, pow(CAST(count(*) AS DOUBLE), 0.7) AS target FROM documents GROUP BY source
@@ -51,4 +76,4 @@ SELECT doc_id, text, lang, source, n_chars, rate AS mix_rate, CAST(unnest(range(
 FROM k
 """
 
-ORACLE = {"op1_warc_revisit": OP1, "op3_exact_topk": OP3, "op9_poisson_mixing": OP9}
+ORACLE = {"op1_warc_revisit": OP1, "op3_exact_topk": OP3, "op5_minhash_neardup": OP5, "op9_poisson_mixing": OP9}

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_chats
 from .common import table
 from .mixing import replicated
+from .neardup import near_duplicates
+from .pieces import encode_documents
+from .pii import with_surrogates
 from .topk import top_k_inner
 from .vocab import token_counts
 from .warc import warc_revisits
@@ -19,6 +22,10 @@ def op1_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_revisits(spark, table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_surrogates(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_inner(spark, table(spark, sf_dir, "embeddings"))
 
@@ -27,6 +34,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(spark, table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicated(spark, table(spark, sf_dir, "documents"))
 
@@ -35,4 +50,9 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisit, op3_exact_topk, op4_token_counts, op9_poisson_mixing, op10_chat_repair)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_revisit, op2_pii_surrogates, op3_exact_topk, op4_token_counts, op5_minhash_neardup, op6_sentencepiece, op9_poisson_mixing, op10_chat_repair,
+    )
+}
