@@ -274,7 +274,7 @@ def with_surrogates(spark: SparkSession, docs: DataFrame, text: str = "text", id
     joined = some.join(lists, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_list_hash")))
     gaps = F.split(F.col(text), ENTITY, -1)
     pieces = F.zip_with("_values", "_new", lambda v, n: _rendered(_described(v), n["surrogate"]))
-    whole = F.concat(gaps[0], F.array_join(F.zip_with(F.slice(gaps, 2, 2**31 - 1), pieces, lambda g, p: F.concat(p, g)), ""))
+    whole = F.concat(gaps[0], F.array_join(F.zip_with(F.slice(gaps, F.lit(2), F.size(gaps) - 1), pieces, lambda g, p: F.concat(p, g)), ""))
     names = docs.columns
     changed = joined.withColumn("n_entities", F.size("_values")).withColumn(text, whole).select(*names, "n_entities")
     same = found.where(F.col("_values").isNull() | (F.size("_values") == 0)).withColumn("n_entities", F.lit(0)).select(*names, "n_entities")
