@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import format_chats
 from .common import table
+from .fingerprint import fingerprints
 from .mixing import replicated
 from .neardup import near_duplicates
 from .pieces import encode_documents
 from .pii import with_surrogates
+from .quality import quality_scores
 from .topk import top_k_inner
 from .vocab import token_counts
 from .warc import warc_revisits
@@ -42,6 +44,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(spark, table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op7_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicated(spark, table(spark, sf_dir, "documents"))
 
@@ -53,6 +63,6 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_warc_revisit, op2_pii_surrogates, op3_exact_topk, op4_token_counts, op5_minhash_neardup, op6_sentencepiece, op9_poisson_mixing, op10_chat_repair,
+        op1_warc_revisit, op2_pii_surrogates, op3_exact_topk, op4_token_counts, op5_minhash_neardup, op6_sentencepiece, op7_quality_attention, op8_chunk_fingerprints, op9_poisson_mixing, op10_chat_repair,
     )
 }
