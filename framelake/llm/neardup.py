@@ -5,7 +5,7 @@ least hash values, each with its coordinate in its low bits, so a value is a
 (coordinate, value) pair. Texts with one set are one class. Classes are posted
 under their pairs; two classes whose likeness is 0.85 share fewer than
 ``MATCHES`` of 64 pairs with a chance of about one in a million, so only those
-with MATCHES collisions are compared, on full sets.
+that MATCHES collisions connect are compared, on full sets.
 
 Prefix: with pairs ordered by how many classes post them, two classes with
 MATCHES collisions share one of their COORDINATES - MATCHES + 1 rarest pairs;
@@ -13,10 +13,16 @@ only these are posted. A passage that many texts share makes common pairs, which
 come last and aren't posted, unless they are most of a text.
 
 Skip: a posting list isn't expanded into its pairs. In a few rounds its members
-are compared with one leader, of the component that most of them are in already,
-and members of the leader's component are skipped. What then still differs in
-component is matched in blocks of signatures, and only pairs with MATCHES
-collisions leave a block, so no link is lost.
+are matched with one leader, of the cluster that most of them are in already,
+and members of the leader's cluster are skipped. Lists that still differ in
+cluster are merged in blocks of signatures, each of which gives a spanning
+forest of its matches. So all classes that can be linked are in one cluster.
+
+Clusters are then compared on full sets, in one task if they have at most
+``BLOCK`` members. Larger ones are first compared with a leader in some rounds;
+the rest of them is dealt as pairs of blocks. A task counts the common shingles
+of its members by a product of matrices and gives a spanning forest of the
+links, so no link is lost between components and no pairs are listed.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ from .common import Workspace, small_batches
 WORDS = 5
 COORDINATES, MATCHES = 64, 40
 PREFIX = COORDINATES - MATCHES + 1
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 BLOCK = 256
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -123,65 +129,111 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def leader_pairs(labelled: DataFrame, work: Workspace, turn: int) -> DataFrame:
-    """(a, b): each member of a posting list with the list's leader, if their components differ."""
-    order = F.xxhash64(F.lit(turn), F.col("rep"))
-    parts = labelled.groupBy("token", "label").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("h"), F.col("rep"))).alias("m"))
-    lists = parts.groupBy("token").agg(F.max(F.struct("n", F.col("m.h").alias("h"), F.col("m.rep").alias("leader"), "label")).alias("top"), F.count("*").alias("labels"))
-    leaders = work.stage(lists.where("labels > 1").select("token", "top.leader", F.col("top.label").alias("leader_label")), f"leaders{turn}")
-    return _ordered(labelled.join(leaders, "token").where("label <> leader_label"), "rep", "leader")
+def leader_pairs(labelled: DataFrame, group: str, work: Workspace, name: str) -> DataFrame:
+    """(a, b): each member of a group with the group's leader, a member of its largest label, if their labels differ."""
+    order = F.xxhash64(F.lit(name), F.col("rep"))
+    parts = labelled.groupBy(group, "label").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("h"), F.col("rep"))).alias("m"))
+    lists = parts.groupBy(group).agg(F.max(F.struct("n", F.col("m.h").alias("h"), F.col("m.rep").alias("leader"), "label")).alias("top"), F.count("*").alias("labels"))
+    leaders = work.stage(lists.where("labels > 1").select(group, "top.leader", F.col("top.label").alias("leader_label")), name)
+    return _ordered(labelled.join(leaders, group).where("label <> leader_label"), "rep", "leader")
 
 
-def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each block (rows of one key come together) that differ in component and have MATCHES collisions."""
-    held: list[tuple] = []
-    key = None
-
-    def pairs() -> pa.RecordBatch | None:
-        if len(held) < 2:
-            return None
-        _, bi, bj = key
-        reps, labels, sizes, own = (np.array(x) for x in zip(*((r, lab, n, blk) for r, lab, n, blk, _ in held), strict=True))
-        sigs = np.stack([s for *_, s in held])
-        a, b = [], []
-        for i in range(len(held) - 1):
-            rest = slice(i + 1, None)
-            ok = (labels[rest] != labels[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= 85 * np.maximum(sizes[rest], sizes[i]))
-            if bi != bj:
-                ok &= own[rest] != own[i]
-            at = np.flatnonzero(ok) + i + 1
-            at = at[(sigs[at] == sigs[i]).sum(axis=1) >= MATCHES]
-            a.append(np.minimum(reps[at], reps[i]))
-            b.append(np.maximum(reps[at], reps[i]))
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if len(a) else None
+def _forest(near: np.ndarray, ids: list[int]) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric boolean matrix, as pairs of ids."""
+    free, out = np.ones(len(ids), dtype=bool), []
+    for root in range(len(ids)):
+        if not free[root]:
+            continue
+        free[root] = False
+        todo = [root]
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(near[i] & free).tolist():
+                free[j] = False
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                todo.append(j)
+    return out
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
 
+def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows by key, one group at a time; rows of a group come together."""
+    key, held = None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("token", "bi", "bj", "rep", "label", "n_shingles", "block")]
-        sigs = batch.column("sig")
-        flat = sigs.flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
-        for i, (token, bi, bj, rep, label, n, block) in enumerate(zip(*columns, strict=True)):
-            if key != (token, bi, bj):
-                if (out := pairs()) is not None:
-                    yield out
-                key, held = (token, bi, bj), []
-            held.append((rep, label, n, block, flat[i]))
-    if key is not None and (out := pairs()) is not None:
-        yield out
-
-
-def block_pairs(labelled: DataFrame, reps: DataFrame, work: Workspace) -> DataFrame:
-    """(a, b): all pairs of a posting list that differ in component and have MATCHES collisions, from blocks of about BLOCK members."""
-    lists = labelled.groupBy("token").agg(F.count("*").alias("members"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token", "members")
-    lists = work.stage(lists.select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed-lists")
-    rows = labelled.join(lists, "token").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "label", "block")
-    rows = rows.join(reps.select("rep", "n_shingles", "sig"), "rep")
+        own = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+        rows = zip(*(batch.column(c) for c in columns), strict=True)
+        for k, row in zip(own, rows, strict=True):
+            if k != key:
+                if held:
+                    yield key, held
+                key, held = k, []
+            held.append(row)
+    if held:
+        yield key, held
+
+
+def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per group of signatures a spanning forest of the pairs with MATCHES collisions whose sizes allow the likeness."""
+    for _, rows in _grouped(batches, ("token", "bi", "bj"), ("rep", "n_shingles", "sig")):
+        if len(rows) < 2:
+            continue
+        ids, sizes = [r.as_py() for r, _, _ in rows], np.array([n.as_py() for _, n, _ in rows])
+        sigs = np.stack([s.values.to_numpy(zero_copy_only=False) for *_, s in rows])
+        near = np.zeros((len(ids), len(ids)), dtype=bool)
+        for i in range(len(ids) - 1):
+            near[i, i + 1 :] = (sigs[i + 1 :] == sigs[i]).sum(axis=1) >= MATCHES
+        near &= 100 * np.minimum.outer(sizes, sizes) >= 85 * np.maximum.outer(sizes, sizes)
+        if pairs := _forest(near | near.T, ids):
+            yield _pairs_batch(pairs)
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows with ``blocks`` dealt so that every two rows of a group meet under some (group, bi, bj)."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("block", "other", "blocks")
+
+
+def _blocks_of_mixed(labelled: DataFrame, group: str) -> DataFrame:
+    """(group, blocks) of the groups whose members differ in label."""
+    lists = labelled.groupBy(group).agg(F.count("*").alias("members"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    return lists.select(group, F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+
+
+def block_matches(labelled: DataFrame, reps: DataFrame, work: Workspace) -> DataFrame:
+    """(a, b): for the posting lists that still differ in cluster, spanning forests of their matches."""
+    mixed = work.stage(_blocks_of_mixed(labelled, "token"), "mixed-lists")
+    rows = _in_blocks(labelled.join(mixed, "token")).join(reps.select("rep", "n_shingles", "sig"), "rep")
     dealt = rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
     return dealt.mapInArrow(_matching, "a bigint, b bigint").distinct()
 
 
+def match_clusters(reps: DataFrame, postings: DataFrame, work: Workspace) -> DataFrame | None:
+    """(rep, label) of the classes in clusters that MATCHES collisions connect; None if there are none."""
+    labels = edges = tested = None
+    for turn in range(LEADER_ROUNDS + 1):
+        label: Column = F.col("rep") if labels is None else F.coalesce("label", F.col("rep"))
+        labelled = (postings if labels is None else postings.join(labels, "rep", "left")).select("token", "rep", label.alias("label"))
+        labelled = work.stage(labelled, f"labelled{turn}")
+        if turn < LEADER_ROUNDS:
+            asked = leader_pairs(labelled, "token", work, f"leaders{turn}")
+            asked = work.stage(asked if tested is None else asked.join(tested, ["a", "b"], "left_anti"), f"asked{turn}")
+            if asked.isEmpty():
+                continue
+            tested = asked if tested is None else tested.unionByName(asked)
+            found = work.stage(colliding(asked, reps), f"matches{turn}")
+        else:
+            found = work.stage(block_matches(labelled, reps, work), f"matches{turn}")
+        work.drop(f"labelled{turn}")
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            labels = components(edges, work, f"clusters{turn}")
+    return labels
+
+
 # --- comparing ---------------------------------------------------------------
 
 
@@ -238,6 +290,66 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
+def _alike(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The symmetric matrix of which sets are linked. Common shingles are counted by products of 0/1 matrices, some columns at a time."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    values = values[counts > 1]
+    places = [np.searchsorted(values, s) for s in sets]
+    places = [p[(p < len(values)) & (values[np.minimum(p, len(values) - 1)] == s)] if len(values) else p[:0] for p, s in zip(places, sets, strict=True)]
+    common = np.zeros((n, n))
+    for a in range(0, len(values), 4096):
+        width = min(4096, len(values) - a)
+        m = np.zeros((n, width), dtype=np.float32)
+        for i, p in enumerate(places):
+            m[i, p[np.searchsorted(p, a) : np.searchsorted(p, a + width)] - a] = 1
+        common += m @ m.T
+    near = 100 * common >= percent * (np.add.outer(sizes, sizes) - common)
+    np.fill_diagonal(near, False)
+    return near
+
+
+def _linked_in_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    for _, rows in _grouped(batches, keys, ("rep", "text")):
+        if len(rows) > 1:
+            ids, sets = [r.as_py() for r, _ in rows], [shingle_set(t.as_py(), words) for _, t in rows]
+            if pairs := _forest(_alike(sets, percent), ids):
+                yield _pairs_batch(pairs)
+
+
+def cluster_links(spark: SparkSession, clusters: DataFrame, texts: DataFrame, work: Workspace, words: int, percent: int) -> DataFrame:
+    """(a, b): links that connect, within each cluster, what links connect."""
+    schema = "a bigint, b bigint"
+    clusters = clusters.withColumnRenamed("label", "cluster")
+    sizes = work.stage(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster-sizes")
+    members = work.stage(clusters.join(sizes, "cluster"), "members")
+    small = members.where(F.col("members") <= BLOCK).select("cluster", "rep").join(texts, "rep").repartition("cluster").sortWithinPartitions("cluster")
+    with small_batches(spark):
+        edges = work.stage(small.mapInArrow(lambda it: _linked_in_groups(it, ("cluster",), words, percent), schema), "small-links")
+    large = members.where(F.col("members") > BLOCK).select("cluster", "rep")
+    if large.isEmpty():
+        return edges
+    labels = tested = own = None
+    for turn in range(LEADER_ROUNDS):
+        label: Column = F.col("rep") if labels is None else F.coalesce("label", F.col("rep"))
+        labelled = work.stage((large if labels is None else large.join(labels, "rep", "left")).select("cluster", "rep", label.alias("label")), f"large{turn}")
+        asked = leader_pairs(labelled, "cluster", work, f"large-leaders{turn}")
+        asked = work.stage(asked if tested is None else asked.join(tested, ["a", "b"], "left_anti"), f"large-asked{turn}")
+        if asked.isEmpty():
+            break
+        tested = asked if tested is None else tested.unionByName(asked)
+        found = linked(spark, asked, texts, work, f"large-links{turn}", words, percent)
+        own = found if own is None else own.unionByName(found)
+        labels = components(own, work, f"large-components{turn}")
+    labelled = work.stage(large.join(labels, "rep", "left").select("cluster", "rep", F.coalesce("label", "rep").alias("label")), "large-rest")
+    mixed = work.stage(_blocks_of_mixed(labelled, "cluster"), "large-mixed")
+    rows = _in_blocks(labelled.join(mixed, "cluster")).join(texts, "rep")
+    dealt = rows.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
+    with small_batches(spark):
+        rest = work.stage(dealt.mapInArrow(lambda it: _linked_in_groups(it, ("cluster", "bi", "bj"), words, percent), schema), "large-rest-links")
+    return edges.unionByName(own).unionByName(rest)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 85) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least doc_id that links lead to), kept (doc_id is that).
 
@@ -254,27 +366,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     reps = work.stage(firsts.select("digest", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.sig"), "reps")
     postings = prefix_postings(reps, work)
     work.drop("shared", "posted", "kept-tokens")
-    own = postings.select(F.col("rep").alias("doc_id")).distinct()
-    texts = work.stage(narrow.join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct(), "texts")
-    labels = edges = tested = None
-    for turn in range(LEADER_ROUNDS + 1):
-        label: Column = F.col("rep") if labels is None else F.coalesce("label", F.col("rep"))
-        labelled = (postings if labels is None else postings.join(labels, "rep", "left")).select("token", "rep", label.alias("label"))
-        labelled = work.stage(labelled, f"labelled{turn}")
-        asked = leader_pairs(labelled, work, turn) if turn < LEADER_ROUNDS else block_pairs(labelled, reps, work)
-        if tested is not None:
-            asked = asked.join(tested, ["a", "b"], "left_anti")
-        asked = work.stage(asked, f"asked{turn}")
-        work.drop(f"labelled{turn}")
-        if asked.isEmpty():
-            if turn >= LEADER_ROUNDS:
-                break
-            continue
-        tested = asked if tested is None else tested.unionByName(asked)
-        alike = asked if turn == LEADER_ROUNDS else work.stage(colliding(asked, reps), f"colliding{turn}")
-        found = linked(spark, alike, texts, work, f"links{turn}", words, percent)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges, work, f"components{turn}")
+    clusters = match_clusters(reps, postings, work)
+    labels = None
+    if clusters is not None:
+        texts = work.stage(narrow.join(clusters.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct(), "texts")
+        labels = components(cluster_links(spark, clusters, texts, work, words, percent), work, "components")
     work.drop("texts")
     classes = reps.select("digest", "rep")
     if labels is not None:
