@@ -160,12 +160,14 @@ def build_tokenizer(model: Model):
 class Codec:
     """The rebuilt tokenizer beside the sentencepiece library with the same model file.
 
-    Where no piece crosses from one word into the next, words are encoded apart:
-    those of a batch that aren't known yet go to the library in one multithreaded
-    call, and the rest come from a table of at most ``most`` words.
+    Where no piece crosses from one word into the next, a text's ids are those
+    of its words. Words of a batch that aren't known yet are encoded by both
+    libraries, compared, decoded and entered in a table of at most ``most``
+    words; a text is at parity, or comes back, if all its words do. Else whole
+    texts are encoded, on several threads, and compared.
     """
 
-    def __init__(self, data: bytes, threads: int = 2, most: int = 300_000):
+    def __init__(self, data: bytes, threads: int = 2, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
@@ -173,37 +175,72 @@ class Codec:
         model = parse_model(data)
         self.tokenizer, self.core = build_tokenizer(model), build_tokenizer(model)
         self.core.normalizer = self.core.pre_tokenizer = None
-        self.apart = _words_apart(model) and not any(t == USER_DEFINED for _, _, t in model.pieces)
+        normal = [p for p, _, t in model.pieces if t == NORMAL]
         self.exact = not model.charsmap and not model.strip_extra
-        self.dummy_prefix = model.dummy_prefix
-        self.words, self.known, self.most = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"), {}, most
+        self.apart = _words_apart(model) and self.exact and model.escape and model.dummy_prefix and not any(t == USER_DEFINED for _, _, t in model.pieces)
+        lines = "" if any("\n" in p for p in normal) else "\n"  # no piece has a line's end: lines are words apart too
+        self.words, self.threads, self.most = re.compile(f"{SPACE}+[^{SPACE}{lines}]*|[^{SPACE}{lines}]+" + "|\n+" * bool(lines)), threads, most
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-
-    def normalised(self, text: str) -> str:
-        if self.exact:
-            return SPACE * (self.dummy_prefix and text != "") + text.replace(" ", SPACE)
-        return self.tokenizer.normalizer.normalize_str(text)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends, self.same, self.back = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool), np.empty(0, bool)
+
+    def _learn(self, words: list[str]) -> None:
+        """Enter words. A word follows a letter, one that begins a line a line's end too: so it keeps its mark, and nothing joins it."""
+        for lead in ("a", "a\n"):
+            part = [w for w in words if (w[0] == SPACE) == (lead == "a")]
+            if not part:
+                continue
+            head = self.reference.encode(lead)
+            plain = [w.replace(SPACE, " ") for w in part]
+            found = self.core.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, sizes = found.ids, np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part))
+            right = [x[len(head) :] for x in self.reference.encode([lead + w for w in plain], num_threads=self.threads)]
+            expected = [i for x in right for i in x]
+            same, back = np.ones(len(part), bool), np.ones(len(part), bool)
+            if ids != expected or self.core.decode([*head, *ids], skip_special_tokens=False) != lead + "".join(plain):  # find which words differ
+                own = self.core.encode_batch_fast(part, add_special_tokens=False)
+                same = np.array([a.ids == b for a, b in zip(own, right, strict=True)])
+                decoded = self.core.decode_batch([[*head, *x] for x in right], skip_special_tokens=False)
+                back = np.array([d == lead + w for d, w in zip(decoded, plain, strict=True)])
+                sizes = np.array([len(x) for x in right])
+            first = len(self.known)
+            self.known.update(zip(part, range(first, first + len(part)), strict=True))
+            self.ids = np.concatenate([self.ids, np.array(expected, dtype=np.int32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
+            self.same, self.back = np.concatenate([self.same, same]), np.concatenate([self.back, back])
+
+    def checked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text, equal to the reference's, decoded to the normalised text); where ids differ, the reference's stand."""
         if not self.apart:
-            return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [self.words.findall(self.normalised(t)) for t in texts]
+            ids, expected = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], self.reference.encode(texts, num_threads=self.threads)
+            decoded, wanted = self.decode(expected), texts if self.exact else self.reference.decode(expected)
+            flat = np.fromiter((i for e in expected for i in e), np.int32)
+            return flat, np.array([len(e) for e in expected], dtype=np.int64), np.array([a == e for a, e in zip(ids, expected, strict=True)], bool), np.array([d == w for d, w in zip(decoded, wanted, strict=True)], bool)
+        split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > self.most:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        self.known.update(zip(new, (x.ids for x in self.core.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        known = self.known
-        return [[i for w in words for i in known[w]] for words in split]
+            self._forget()
+        counts, flat_words = np.array([len(w) for w in split], dtype=np.int64), [w for words in split for w in words]
+        at = list(map(self.known.get, flat_words))
+        if None in at:
+            self._learn(list({w for w, i in zip(flat_words, at, strict=True) if i is None}))
+            at = list(map(self.known.__getitem__, flat_words))
+        at = np.array(at, dtype=np.int64)
+        sizes = self.ends[at + 1] - self.ends[at]
+        stops = np.cumsum(sizes)
+        flat = self.ids[np.repeat(self.ends[at] - (stops - sizes), sizes) + np.arange(int(sizes.sum()))]
+        per_text = lambda x: np.diff(np.r_[0, np.cumsum(x)][np.r_[0, np.cumsum(counts)]])
+        return flat, per_text(sizes), per_text(~self.same[at]) == 0, per_text(~self.back[at]) == 0
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        flat, sizes, _, _ = self.checked(texts)
+        return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] if texts else []
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def checked(self, texts: list[str]) -> list[tuple[list[int], bool, bool]]:
-        """(ids, equal to the reference's, decoded to the normalised text) per text; where ids differ, the reference's stand."""
-        ids, expected = self.encode(texts), self.reference.encode(texts, num_threads=1)
-        decoded, wanted = self.decode(expected), texts if self.exact else self.reference.decode(expected)
-        return [(e, a == e, d == w) for a, e, d, w in zip(ids, expected, decoded, wanted, strict=True)]
-
 
 @lru_cache(maxsize=2)
 def _codec(data: bytes) -> Codec:
@@ -242,14 +279,9 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, key:
         for batch in batches:
             at = 0
             for chunk in _chunks([t.as_py() or "" for t in batch.column("text")]):
-                found = codec.checked(chunk)
-                sizes = np.array([len(ids) for ids, _, _ in found], dtype=np.int64)
-                flat = np.concatenate([np.array(ids, dtype=np.int32) for ids, _, _ in found])
+                flat, sizes, parity, back = codec.checked(chunk)
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(at, len(chunk)), pa.array(sizes), ids, pa.array([p for _, p, _ in found]), pa.array([r for _, _, r in found])],
-                    names=[key, "n_tokens", "token_ids", "parity", "round_trip"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(chunk)), pa.array(sizes), ids, pa.array(parity), pa.array(back)], names=[key, "n_tokens", "token_ids", "parity", "round_trip"])
                 at += len(chunk)
 
     kind = docs.schema[key].dataType.simpleString()
