@@ -54,7 +54,7 @@ _LOW = np.uint64(COORDINATES - 1)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -213,7 +213,7 @@ def block_matches(labelled: DataFrame, reps: DataFrame, work: Workspace) -> Data
 
 def match_clusters(reps: DataFrame, postings: DataFrame, work: Workspace) -> DataFrame | None:
     """(rep, label) of the classes in clusters that MATCHES collisions connect; None if there are none."""
-    labels = edges = tested = None
+    labels = tested = None
     for turn in range(LEADER_ROUNDS + 1):
         label: Column = F.col("rep") if labels is None else F.coalesce("label", F.col("rep"))
         labelled = (postings if labels is None else postings.join(labels, "rep", "left")).select("token", "rep", label.alias("label"))
@@ -229,8 +229,7 @@ def match_clusters(reps: DataFrame, postings: DataFrame, work: Workspace) -> Dat
             found = work.stage(block_matches(labelled, reps, work), f"matches{turn}")
         work.drop(f"labelled{turn}")
         if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges, work, f"clusters{turn}")
+            labels = merged(labels, found, work, f"clusters{turn}")
     return labels
 
 
@@ -273,23 +272,45 @@ def linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame, work: Worksp
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """(rep, label): the least member of each node's component, by neighbours' labels and label's label until nothing changes."""
-    both = work.stage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), f"{name}-edges")
-    labels = work.stage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), f"{name}-labels0")
-    for i in range(1, 1000):
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("other")), "v").groupBy("u").agg(F.min("other").alias("other"))
-        lower = labels.join(near, "u").select("u", F.least("label", "other").alias("label"), F.col("label").alias("was"))
-        lower = work.stage(lower, f"{name}-lower{i}")
-        jumped = lower.join(lower.select(F.col("u").alias("label"), F.col("label").alias("far")), "label").select("u", F.least("label", "far").alias("label"), "was")
-        jumped = work.stage(jumped, f"{name}-labels{i}")
-        changed = not jumped.where("label <> was").isEmpty()
-        work.drop(f"{name}-lower{i}", f"{name}-labels{i - 1}")
-        labels = jumped.select("u", "label")
-        if not changed:
-            return labels.select(F.col("u").alias("rep"), "label")
+    """(rep, label): the least member of each node's component.
+
+    Each node hooks to its least neighbour, hooks are followed to their roots by
+    doubling, and edges are carried over to the roots; edges inside a root go,
+    so each turn works on what is left, at most half of the nodes.
+    """
+    edges = work.stage(edges.select("a", "b").distinct(), f"{name}-edges")
+    labels = work.stage(edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).distinct().withColumn("label", F.col("rep")), f"{name}-labels")
+    edges = edges.where("a <> b")
+    for turn in range(1000):
+        if edges.isEmpty():
+            return labels
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        roots = work.stage(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), f"{name}-roots{turn}")
+        for jump in range(64):
+            further = roots.select(F.col("u").alias("p"), F.col("p").alias("far"))
+            jumped = work.stage(roots.join(further, "p").select("u", F.col("far").alias("p"), (F.col("far") != F.col("p")).alias("moved")), f"{name}-roots{turn}-{jump}")
+            roots = jumped.select("u", "p")
+            if jumped.where("moved").isEmpty():
+                break
+        of = lambda c: roots.select(F.col("u").alias(c), F.col("p").alias(f"p{c}"))
+        carried = edges.join(of("a"), "a").join(of("b"), "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        edges = work.stage(carried, f"{name}-edges{turn}")
+        labels = work.stage(labels.join(of("label"), "label", "left").select("rep", F.coalesce("plabel", "label").alias("label")), f"{name}-labels{turn}")
     raise RuntimeError("components didn't settle")
 
 
+def merged(labels: DataFrame | None, edges: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Labels after more edges: only edges between different labels are looked at again."""
+    if labels is None:
+        return components(edges, work, name)
+    of = lambda c: labels.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    roots = components(between, work, name).select(F.col("rep").alias("label"), F.col("label").alias("root"))
+    nodes = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).distinct().join(labels, "rep", "left_anti")
+    every = labels.unionByName(nodes.withColumn("label", F.col("rep")))
+    return work.stage(every.join(roots, "label", "left").select("rep", F.coalesce("root", "label").alias("label")), f"{name}-merged")
+
+
 def _alike(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """The symmetric matrix of which sets are linked. Common shingles are counted by products of 0/1 matrices, some columns at a time."""
     n, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
@@ -340,7 +361,7 @@ def cluster_links(spark: SparkSession, clusters: DataFrame, texts: DataFrame, wo
         tested = asked if tested is None else tested.unionByName(asked)
         found = linked(spark, asked, texts, work, f"large-links{turn}", words, percent)
         own = found if own is None else own.unionByName(found)
-        labels = components(own, work, f"large-components{turn}")
+        labels = merged(labels, found, work, f"large-components{turn}")
     labelled = work.stage(large.join(labels, "rep", "left").select("cluster", "rep", F.coalesce("label", "rep").alias("label")), "large-rest")
     mixed = work.stage(_blocks_of_mixed(labelled, "cluster"), "large-mixed")
     rows = _in_blocks(labelled.join(mixed, "cluster")).join(texts, "rep")
@@ -361,7 +382,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     """
     work = Workspace(spark, "neardup")
     narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = work.stage(narrow.mapInArrow(lambda it: _signed(it, words), "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>"), "signed")
+    with small_batches(spark):
+        signed = work.stage(narrow.mapInArrow(lambda it: _signed(it, words), "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>"), "signed")
     firsts = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
     reps = work.stage(firsts.select("digest", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.sig"), "reps")
     postings = prefix_postings(reps, work)
