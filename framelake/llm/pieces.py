@@ -167,7 +167,7 @@ class Codec:
     texts are encoded, on several threads, and compared.
     """
 
-    def __init__(self, data: bytes, threads: int = 2, most: int = 600_000):
+    def __init__(self, data: bytes, threads: int = 2, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
@@ -247,7 +247,7 @@ def _codec(data: bytes) -> Codec:
     return Codec(data)
 
 
-_CHUNK_CHARS, _CHUNK_TEXTS = 400_000, 256
+_CHUNK_CHARS, _CHUNK_TEXTS = 1_500_000, 1000
 FIELDS = "n_tokens bigint, token_ids array<int>, parity boolean, round_trip boolean"
 
 
