@@ -7,7 +7,7 @@ moment. Each query runs over its whole tables.
 
 from __future__ import annotations
 
-from . import ranking, relations, reports, sequences, texts
+from . import exploration, ranking, relations, reports, sequences, texts
 
-QUERIES = {k: v for m in (ranking, relations, sequences, texts, reports) for k, v in m.QUERIES.items()}
-ORACLE = {k: v for m in (ranking, relations, sequences, texts, reports) for k, v in m.ORACLE.items()}
+QUERIES = {k: v for m in (ranking, relations, sequences, texts, reports, exploration) for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in (ranking, relations, sequences, texts, reports, exploration) for k, v in m.ORACLE.items()}

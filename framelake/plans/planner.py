@@ -97,6 +97,20 @@ def resolved(plan: Plan, entries: Mapping[str, str]) -> Plan:
     return plan
 
 
+def distilled(sentence: str, entries: Mapping[str, str], model: Callable[[str, Mapping[str, str]], str] | None = None) -> str:
+    """A short caption of a sentence by a model that is told the known terms in it; without one, or if it fails, the sentence."""
+    if model is None:
+        return sentence
+    try:
+        return model(sentence, find_known_terms(normalized(sentence), dict(entries))).strip() or sentence
+    except Exception:  # a model call may fail in any way; the search goes on
+        return sentence
+
+
+def labels_in_order(labels: Iterable[str]) -> list[str]:
+    return sorted(labels, key=normalized)
+
+
 def merged_groups(*lists: Iterable[tuple[tuple[str, ...], int]]) -> list[tuple[tuple[str, ...], int]]:
     """Groups of several sources; of equal ones the greater count stands."""
     out: dict[tuple[str, ...], int] = {}

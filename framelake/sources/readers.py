@@ -171,3 +171,15 @@ def dedupe_key_order(frames: DataFrame) -> DataFrame:
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], schema(name))
+
+
+def find_video(spark: SparkSession, roots: list[str], video: str) -> str | None:
+    """The first of <root>/<video>.mp4, <root>/<group>/<video>.mp4 and the video shard under <root> that exists."""
+    group = video.split("_")[0]
+    jvm = spark._jvm
+    for root in roots:
+        for name in (f"{root}/{video}.mp4", f"{root}/{group}/{video}.mp4", f"{root}/Videos_{group}_a.zip"):
+            target = jvm.org.apache.hadoop.fs.Path(name)
+            if target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target):
+                return name
+    return None
