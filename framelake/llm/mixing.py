@@ -83,7 +83,7 @@ def replicated(
         rated = rows.join(F.broadcast(rates), F.col("_source").eqNullSafe(F.col("source_key")))
     else:
         salt = F.pmod(F.xxhash64(*identity), F.lit(SALTS))
-        dealt = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        dealt = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         rated = rows.withColumn("_s", salt).join(dealt, F.col("_source").eqNullSafe(F.col("source_key")) & (F.col("_s") == F.col("_salt")))
     u = uniform(*identity)
     counted = rated.withColumn("_u", u).withColumn("_n", F.size(F.filter("cdf", lambda p: p <= F.col("_u"))))
