@@ -37,6 +37,10 @@ _CHUNK_ROWS = 1024
 _LONG = 2**63 - 1
 
 
+def _clipped(x) -> int:
+    return max(-_LONG - 1, min(_LONG, int(x)))
+
+
 def quantised(rows: DataFrame, key: str, vector: str, scale: int = 1024) -> DataFrame:
     """vec_id and floor(scale * component) of the rows whose key and components are all present and finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
@@ -115,10 +119,10 @@ class _Block:
         rows, totals = np.take_along_axis(rows, order, axis=0), np.take_along_axis(totals, order, axis=0)
         totals[1:][rows[1:] == rows[:-1]] = self.low
         totals = -np.sort(-totals, axis=0)[:k]
-        best = [[int(x) for x in totals[:, i] if x != self.low] for i in range(n)]
+        best = [[_clipped(x) for x in totals[:, i] if x != self.low] for i in range(n)]
         salt = TaskContext.get().partitionId() % 64
         yield pa.RecordBatch.from_arrays(
-            [pa.array(self.ids), pa.array([salt] * n, pa.int32()), pa.array(best, pa.list_(pa.int64())), pa.array([[int(x[i]) for x in least] for i in range(n)], pa.list_(pa.int64()))],
+            [pa.array(self.ids), pa.array([salt] * n, pa.int32()), pa.array(best, pa.list_(pa.int64())), pa.array([[_clipped(x[i]) for x in least] for i in range(n)], pa.list_(pa.int64()))],
             names=["query_id", "salt", "best", "least"],
         )
 
@@ -128,6 +132,8 @@ class _Block:
         tau, bounds = [], [[] for _ in range(m)]
         for q in self.ids.tolist():
             t, least = cutoff.get(q, (None, None))
+            if t is not None and (t == _LONG or min(least) < -_LONG):  # clipped, so no safe cutoff
+                t = None
             tau.append(self.low if t is None else t)
             for j in range(m):
                 bounds[j].append(self.low if t is None else -((sum(least) - t) // m) + least[j])  # the quotient is rounded up
@@ -158,7 +164,7 @@ class _Block:
                     held = min(held, len(found[0][0])) // 2
             if found:
                 q, ids, score = best(found)
-                score = [max(-_LONG - 1, min(_LONG, int(x))) for x in score]
+                score = [_clipped(x) for x in score]
                 yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(ids, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
         return run

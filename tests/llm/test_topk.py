@@ -55,6 +55,11 @@ def test_few_candidates_ragged_and_repeated(spark):
 
 
 def test_sums_beyond_doubles_stay_exact(spark):
-    big = 3.0e6
-    rows = [(0, [big, 1.0], 0, ""), (1, [big, 1.0], 0, ""), (2, [big, 2.0], 0, "")]
+    big = 2.0e6
+    rows = [(0, [big, 1.0], 0, ""), (1, [big, 1.0], 0, ""), (2, [big, 2.0], 0, ""), (3, [-big, 2.0], 0, "")]
     assert run(spark, rows, every=100, k=2) == brute(rows, 100, 2)
+
+
+def test_scores_beyond_64_bits_are_clipped(spark):
+    rows = [(0, [1e30, 0.0], 0, ""), (1, [1e30, 0.0], 0, ""), (2, [-1e30, 5.0], 0, ""), (3, [0.0, 5.0], 0, "")]
+    assert run(spark, rows, every=100, k=3) == {(0, 1, 1, 2**63 - 1), (0, 2, 3, 0), (0, 3, 2, -(2**63))}
