@@ -126,15 +126,15 @@ def _words_apart(model: Model) -> bool:
     return not model.suffix_space and not any(t == NORMAL and SPACE in p.lstrip(SPACE) for p, _, t in model.pieces)
 
 
-def build_tokenizer(model: Model):
-    """A tokenizers-library tokenizer that encodes as the model says."""
+def build_tokenizer(model: Model, cache: int = 10_000):
+    """A tokenizers-library tokenizer that encodes as the model says; ``cache``: how many words the library remembers."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     if model.kind == UNIGRAM:
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unk_id, byte_fallback=model.byte_fallback)
     elif model.kind == BPE:
         vocabulary = {p: i for i, (p, _, _) in enumerate(model.pieces)}
-        core = models.BPE(vocabulary, merges(model), unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=100_000)
+        core = models.BPE(vocabulary, merges(model), unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=cache)
     else:
         raise ValueError("only unigram and BPE models can be rebuilt")
     tokenizer = Tokenizer(core)
@@ -167,19 +167,19 @@ class Codec:
     texts are encoded, on several threads, and compared.
     """
 
-    def __init__(self, data: bytes, threads: int = 2, most: int = 1_200_000):
+    def __init__(self, data: bytes, threads: int = 2, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
 
         model = parse_model(data)
-        self.tokenizer, self.core = build_tokenizer(model), build_tokenizer(model)
+        self.tokenizer, self.core = build_tokenizer(model), build_tokenizer(model, 0)
         self.core.normalizer = self.core.pre_tokenizer = None
         normal = [p for p, _, t in model.pieces if t == NORMAL]
         self.exact = not model.charsmap and not model.strip_extra
         self.apart = _words_apart(model) and self.exact and model.escape and model.dummy_prefix and not any(t == USER_DEFINED for _, _, t in model.pieces)
         lines = "" if any("\n" in p for p in normal) else "\n"  # no piece has a line's end: lines are words apart too
-        self.words, self.threads, self.most = re.compile(f"{SPACE}+[^{SPACE}{lines}]*|[^{SPACE}{lines}]+" + "|\n+" * bool(lines)), threads, most
+        self.words, self.threads, self.most = re.compile(f" +[^ {lines}]*|[^ {lines}]+" + "|\n+" * bool(lines)), threads, most
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self._forget()
 
@@ -188,13 +188,13 @@ class Codec:
         self.ids, self.ends, self.same, self.back = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool), np.empty(0, bool)
 
     def _learn(self, words: list[str]) -> None:
-        """Enter words. A word follows a letter, one that begins a line a line's end too: so it keeps its mark, and nothing joins it."""
+        """Enter words, with blanks for marks. A word follows a letter, one that begins a line a line's end too: so it keeps its mark, and nothing joins it."""
         for lead in ("a", "a\n"):
-            part = [w for w in words if (w[0] == SPACE) == (lead == "a")]
-            if not part:
+            plain = [w for w in words if (w[0] == " ") == (lead == "a")]
+            if not plain:
                 continue
+            part = [w.replace(" ", SPACE) for w in plain]
             head = self.reference.encode(lead)
-            plain = [w.replace(SPACE, " ") for w in part]
             found = self.core.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids, sizes = found.ids, np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part))
             right = [x[len(head) :] for x in self.reference.encode([lead + w for w in plain], num_threads=self.threads)]
@@ -207,7 +207,7 @@ class Codec:
                 back = np.array([d == lead + w for d, w in zip(decoded, plain, strict=True)])
                 sizes = np.array([len(x) for x in right])
             first = len(self.known)
-            self.known.update(zip(part, range(first, first + len(part)), strict=True))
+            self.known.update(zip(plain, range(first, first + len(plain)), strict=True))
             self.ids = np.concatenate([self.ids, np.array(expected, dtype=np.int32)])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
             self.same, self.back = np.concatenate([self.same, same]), np.concatenate([self.back, back])
@@ -219,7 +219,9 @@ class Codec:
             decoded, wanted = self.decode(expected), texts if self.exact else self.reference.decode(expected)
             flat = np.fromiter((i for e in expected for i in e), np.int32)
             return flat, np.array([len(e) for e in expected], dtype=np.int64), np.array([a == e for a, e in zip(ids, expected, strict=True)], bool), np.array([d == w for d, w in zip(decoded, wanted, strict=True)], bool)
-        split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        # a mark that stands in a text is a blank to the model, and comes back as one
+        clean = np.array([SPACE not in t for t in texts], dtype=bool)
+        split = [self.words.findall(" " + (t if c else t.replace(SPACE, " "))) if t else [] for t, c in zip(texts, clean.tolist(), strict=True)]
         if len(self.known) > self.most:
             self._forget()
         counts, flat_words = np.array([len(w) for w in split], dtype=np.int64), [w for words in split for w in words]
@@ -232,7 +234,7 @@ class Codec:
         stops = np.cumsum(sizes)
         flat = self.ids[np.repeat(self.ends[at] - (stops - sizes), sizes) + np.arange(int(sizes.sum()))]
         per_text = lambda x: np.diff(np.r_[0, np.cumsum(x)][np.r_[0, np.cumsum(counts)]])
-        return flat, per_text(sizes), per_text(~self.same[at]) == 0, per_text(~self.back[at]) == 0
+        return flat, per_text(sizes), per_text(~self.same[at]) == 0, (per_text(~self.back[at]) == 0) & clean
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         flat, sizes, _, _ = self.checked(texts)
