@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,20 +40,22 @@ def skip_stride(rows: DataFrame, by: Sequence[str], order: str, skip: int = 5, s
 def numbered(rows: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """A global row number from 0, without one task for all rows.
 
-    Rows are range-partitioned and sorted; each partition's count (a few numbers
-    on the driver) gives the next one its start.
+    Rows are range-partitioned and sorted, and numbered within their partition
+    by the upper and lower bits of Spark's own row ids; each partition's count
+    (a few numbers on the driver) gives the next one its start. The numbered
+    rows are checkpointed, as ranges are sampled anew each time they are made.
     """
     spark = rows.sparkSession
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    dealt = dealt.checkpoint() if spark.sparkContext.getCheckpointDir() else dealt
-    counts = sorted((r["_part"], r["n"]) for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    if not spark.sparkContext.getCheckpointDir():  # a session on one machine that names none
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("_part", F.shiftright("_id", 33)).withColumn("_i", F.col("_id") - F.shiftleft("_part", 33)).drop("_id").checkpoint()
     starts, total = [], 0
-    for part, n in counts:
+    for part, n in sorted(dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()):
         starts.append((part, total))
         total += n
-    offsets = F.broadcast(spark.createDataFrame(starts, "_part int, _start bigint"))  # a row per partition
-    return dealt.join(offsets, "_part").withColumn(name, F.col("_start") + F.col("_i") - 1).drop("_part", "_i", "_start")
+    offsets = F.broadcast(spark.createDataFrame(starts, "_part bigint, _start bigint"))  # a row per partition
+    return dealt.join(offsets, "_part").withColumn(name, F.col("_start") + F.col("_i")).drop("_part", "_i", "_start")
 
 
 def stride_sample(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:

@@ -38,25 +38,26 @@ def chain_best(pools: Sequence[DataFrame], aggregate: str = "min", k: int | None
     """Per video the chain with one row of each pool, strictly later each time, and the greatest min (or mean) of scores.
 
     Pools have (by, time, score). Dynamic programming: a row of pool i takes the
-    best chain among strictly earlier rows of pool i - 1, a running maximum in
-    one window per pool; all windows are dealt by the video, so only the first
-    shuffles. Ties: the earlier predecessor, then the earlier last row. Returns
-    (by, path, score), best score first when k is given.
+    best chain that ends in a strictly earlier row of pool i - 1. The pools are
+    united first, so each step is a running maximum over the same partitions in
+    the same order: one shuffle and one sort for any number of pools. Ties: the
+    earlier predecessor, then the earlier last row. Returns (by, path, score),
+    best score first when k is given.
     """
     if not pools:
         raise ValueError("a chain needs a pool")
     n = len(pools)
-    current = pools[0].select(by, F.col(time).cast("bigint").alias("t"), F.col("score").cast("double").alias("dp"), F.array(F.col(time).cast("bigint")).alias("path"))
-    for pool in pools[1:]:
-        new = pool.select(by, F.col(time).cast("bigint").alias("t"), F.col("score").cast("double").alias("own"), F.lit(None).cast("struct<dp:double,late:bigint,path:array<bigint>>").alias("chain"))
-        old = current.select(by, "t", F.lit(None).cast("double").alias("own"), F.struct("dp", (-F.col("t")).alias("late"), "path").alias("chain"))
-        earlier = Window.partitionBy(by).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-        met = old.unionByName(new).withColumn("best", F.max("chain").over(earlier)).where("own is not null and best is not null")
+    first = F.when(F.col("anchor") == 0, F.struct(F.col("own").alias("dp"), (-F.col("t")).alias("late"), F.array("t").alias("path")))
+    rows = union_pools([p.select(by, F.col(time).cast("bigint").alias("t"), F.col("score").cast("double").alias("own")) for p in pools]).withColumn("chain", first)
+    earlier = Window.partitionBy(by).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    for i in range(1, n):
+        best = F.max(F.when(F.col("anchor") == i - 1, F.col("chain"))).over(earlier)
         dp = F.least("own", "best.dp") if aggregate == "min" else F.col("own") + F.col("best.dp")
-        current = met.select(by, "t", dp.alias("dp"), F.concat("best.path", F.array("t")).alias("path"))
-    score = F.col("dp") if aggregate == "min" else F.col("dp") / n
-    last = F.max(F.struct("dp", (-F.col("t")).alias("late"), F.transform("path", lambda x: -x).alias("paths"), "path")).alias("m")
-    found = current.groupBy(by).agg(last).select(by, F.col("m.path").alias("path"), F.col("m.dp").alias("dp")).withColumn("score", score).drop("dp")
+        longer = F.struct(dp.alias("dp"), (-F.col("t")).alias("late"), F.concat("best.path", F.array("t")).alias("path"))
+        rows = rows.withColumn("best", best).withColumn("chain", F.when((F.col("anchor") == i) & F.col("best").isNotNull(), longer).otherwise(F.col("chain"))).drop("best")
+    done = rows.where((F.col("anchor") == n - 1) & F.col("chain").isNotNull())
+    last = F.max(F.struct("chain.dp", "chain.late", F.transform("chain.path", lambda x: -x).alias("paths"), F.col("chain.path").alias("path"))).alias("m")
+    found = done.groupBy(by).agg(last).select(by, "m.path", (F.col("m.dp") if aggregate == "min" else F.col("m.dp") / n).alias("score"))
     return found if k is None else found.orderBy(F.desc("score"), by).limit(k)
 
 
