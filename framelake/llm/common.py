@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -73,3 +75,25 @@ def small_batches(spark: SparkSession, size: int = 16 << 20) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task, and other tasks' processes need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] = lambda: None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; when its partition is done, ``forget`` is called and memory released."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+            release_memory()
+
+    return wrapped

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches
+from .common import Workspace, releasing, small_batches
 
 WORDS = 5
 COORDINATES, MATCHES = 64, 40
@@ -63,6 +63,10 @@ class _WordHashes(dict):
 _WORD_HASHES = _WordHashes()
 
 
+def _forget_words() -> None:
+    _WORD_HASHES.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
@@ -268,7 +272,7 @@ def linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame, work: Worksp
     side = lambda k: texts.select(F.col("rep").alias(k), F.col("text").alias(f"text_{k}"))
     with small_batches(spark):
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return work.stage(both.mapInArrow(lambda it: _linked(it, words, percent), "a bigint, b bigint").distinct(), name)
+        return work.stage(both.mapInArrow(releasing(lambda it: _linked(it, words, percent), _forget_words), "a bigint, b bigint").distinct(), name)
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
@@ -346,7 +350,7 @@ def cluster_links(spark: SparkSession, clusters: DataFrame, texts: DataFrame, wo
     members = work.stage(clusters.join(sizes, "cluster"), "members")
     small = members.where(F.col("members") <= BLOCK).select("cluster", "rep").join(texts, "rep").repartition("cluster").sortWithinPartitions("cluster")
     with small_batches(spark):
-        edges = work.stage(small.mapInArrow(lambda it: _linked_in_groups(it, ("cluster",), words, percent), schema), "small-links")
+        edges = work.stage(small.mapInArrow(releasing(lambda it: _linked_in_groups(it, ("cluster",), words, percent), _forget_words), schema), "small-links")
     large = members.where(F.col("members") > BLOCK).select("cluster", "rep")
     if large.isEmpty():
         return edges
@@ -367,7 +371,7 @@ def cluster_links(spark: SparkSession, clusters: DataFrame, texts: DataFrame, wo
     rows = _in_blocks(labelled.join(mixed, "cluster")).join(texts, "rep")
     dealt = rows.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
     with small_batches(spark):
-        rest = work.stage(dealt.mapInArrow(lambda it: _linked_in_groups(it, ("cluster", "bi", "bj"), words, percent), schema), "large-rest-links")
+        rest = work.stage(dealt.mapInArrow(releasing(lambda it: _linked_in_groups(it, ("cluster", "bi", "bj"), words, percent), _forget_words), schema), "large-rest-links")
     return edges.unionByName(own).unionByName(rest)
 
 
@@ -383,7 +387,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     work = Workspace(spark, "neardup")
     narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with small_batches(spark):
-        signed = work.stage(narrow.mapInArrow(lambda it: _signed(it, words), "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>"), "signed")
+        signed = work.stage(narrow.mapInArrow(releasing(lambda it: _signed(it, words), _forget_words), "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>"), "signed")
     firsts = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
     reps = work.stage(firsts.select("digest", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.sig"), "reps")
     postings = prefix_postings(reps, work)

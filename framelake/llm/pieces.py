@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 SPACE = "▁"
 # Piece types and model types of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -181,9 +183,9 @@ class Codec:
         lines = "" if any("\n" in p for p in normal) else "\n"  # no piece has a line's end: lines are words apart too
         self.words, self.threads, self.most = re.compile(f" +[^ {lines}]*|[^ {lines}]+" + "|\n+" * bool(lines)), threads, most
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.ends, self.same, self.back = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool), np.empty(0, bool)
 
@@ -223,7 +225,7 @@ class Codec:
         clean = np.array([SPACE not in t for t in texts], dtype=bool)
         split = [self.words.findall(" " + (t if c else t.replace(SPACE, " "))) if t else [] for t, c in zip(texts, clean.tolist(), strict=True)]
         if len(self.known) > self.most:
-            self._forget()
+            self.forget()
         counts, flat_words = np.array([len(w) for w in split], dtype=np.int64), [w for words in split for w in words]
         at = list(map(self.known.get, flat_words))
         if None in at:
@@ -287,7 +289,8 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, key:
                 at += len(chunk)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, {FIELDS}")
+    forgetting = releasing(run, lambda: _codec(held.value).forget())  # a table of words serves one partition
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(forgetting, f"`{key}` {kind}, {FIELDS}")
 
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, model_path: str, key: str = "doc_id", ids: str = "token_ids") -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 PASSAGE = 512
 _MARKS = b".,!*$&%#|:;\"'"
 CLASSES = 6 + len(_MARKS) + 1
@@ -222,7 +224,7 @@ def scored(spark: SparkSession, rows: DataFrame, model: Attention | float, text:
             for t in batch.column(text):
                 chunk.append(t.as_py())
                 size += len(chunk[-1] or "")
-                if size > 500_000:
+                if size > 200_000:
                     done(chunk)
                     chunk, size = [], 0
             done(chunk)
@@ -230,7 +232,7 @@ def scored(spark: SparkSession, rows: DataFrame, model: Attention | float, text:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(releasing(run), f"{schema}, score double")
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
