@@ -14,30 +14,41 @@ from framelake.llm.quality import fit, scored
 from framelake.llm.queries import TOKENIZERS
 
 
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """Columns of the documents that have the name of an operator's own are renamed while it runs."""
+    return docs.withColumnsRenamed({n: f"__own_{n}" for n in names if n in docs.columns})
+
+
+def _back(done: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return done.select(*[F.col(f"__own_{c}").alias(c) if f"__own_{c}" in done.columns else F.col(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on those among them that have labels, scores 0.5 or more."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     model = fit(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), labels)
-    return scored(spark, docs, model).where("score >= 0.5").drop("score")
+    return scored(spark, docs, model, out="__quality").where("__quality >= 0.5").drop("__quality")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each component with the least doc_id, as one row (of rows with one doc_id the one whose text sorts first); rows without a doc_id stay."""
     kept = near_duplicates(spark, docs).where("kept and doc_id is not null").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)
+    one = docs.join(kept, "doc_id", "left_semi").withColumn("__place", F.row_number().over(first)).where("__place = 1").select(docs.columns)
     return one.unionByName(docs.where("doc_id is null"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, entities replaced by surrogates; n_chars follows the text."""
-    done = with_surrogates(spark, docs)
-    return done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
+    done = with_surrogates(spark, _aside(docs, "n_entities"))
+    length = F.when(F.col("n_entities") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return _back(done.withColumn("n_chars", length), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's rate has it, shuffled."""
-    return replicated(spark, docs).select(docs.columns)
+    return _back(replicated(spark, _aside(docs, "mix_rate", "mix_copy", "mix_order")), docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

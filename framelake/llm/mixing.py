@@ -40,24 +40,24 @@ def cumulative(rate: Column) -> Column:
 
 
 def mixing_rates(docs: DataFrame, source: str, weights: dict[str, float] | None, exponent: float, size: float) -> tuple[DataFrame, int]:
-    """Per source (null is one too): n_docs, rate, cdf; and how many sources there are.
+    """Per source (null is one too): __mix_docs, rate, __mix_cdf; and how many sources there are.
 
     ``weights`` name target shares (others get none); else a source's target is
     its count to the power ``exponent``. ``size`` is the output's expected rows
     over the input's. Rates stop at 200, where exp(-rate) is still exact enough.
     """
-    counts = docs.groupBy(F.col(source).cast("string").alias("source_key")).agg(F.count("*").alias("n_docs"))
+    counts = docs.groupBy(F.col(source).cast("string").alias("__mix_key")).agg(F.count("*").alias("__mix_docs"))
     if weights is None:
-        target = F.pow(F.col("n_docs").cast("double"), F.lit(float(exponent)))
+        target = F.pow(F.col("__mix_docs").cast("double"), F.lit(float(exponent)))
     else:
-        given = [F.when(F.col("source_key") == F.lit(k), F.lit(float(v))) for k, v in weights.items()]
+        given = [F.when(F.col("__mix_key") == F.lit(k), F.lit(float(v))) for k, v in weights.items()]
         target = F.coalesce(*given, F.lit(0.0)) if given else F.lit(0.0)
     whole = counts.withColumn("target", target)
-    totals = whole.agg(F.sum("target").alias("targets"), F.sum("n_docs").alias("docs"), F.count("*").alias("sources")).first()
+    totals = whole.agg(F.sum("target").alias("targets"), F.sum("__mix_docs").alias("docs"), F.count("*").alias("sources")).first()
     share = F.col("target") / F.lit(float(totals.targets)) if totals.targets else F.lit(0.0)
-    rate = F.least(F.lit(MOST_RATE), share * F.lit(float(size) * (totals.docs or 0)) / F.col("n_docs"))
-    rated = whole.select("source_key", "n_docs", rate.alias("rate"))
-    return rated.withColumn("cdf", cumulative(F.col("rate"))), totals.sources
+    rate = F.least(F.lit(MOST_RATE), share * F.lit(float(size) * (totals.docs or 0)) / F.col("__mix_docs"))
+    rated = whole.select("__mix_key", "__mix_docs", rate.alias("rate"))
+    return rated.withColumn("__mix_cdf", cumulative(F.col("rate"))), totals.sources
 
 
 def replicated(
@@ -78,16 +78,16 @@ def replicated(
     rates = work.stage(rates, "rates").withColumnRenamed("rate", "mix_rate")
     names = [c for c in docs.columns if c not in ("mix_rate", "mix_copy", "mix_order")]
     identity = (F.lit(seed), F.col(key), F.col(text))
-    rows = docs.select(*names, F.col(source).cast("string").alias("_source"))
+    rows = docs.select(*names, F.col(source).cast("string").alias("__mix_source"))
     if sources <= BROADCAST_SOURCES:
-        rated = rows.join(F.broadcast(rates), F.col("_source").eqNullSafe(F.col("source_key")))
+        rated = rows.join(F.broadcast(rates), F.col("__mix_source").eqNullSafe(F.col("__mix_key")))
     else:
         salt = F.pmod(F.xxhash64(*identity), F.lit(SALTS))
-        dealt = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-        rated = rows.withColumn("_s", salt).join(dealt, F.col("_source").eqNullSafe(F.col("source_key")) & (F.col("_s") == F.col("_salt")))
+        dealt = rates.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        rated = rows.withColumn("__mix_s", salt).join(dealt, F.col("__mix_source").eqNullSafe(F.col("__mix_key")) & (F.col("__mix_s") == F.col("__mix_salt")))
     u = uniform(*identity)
-    counted = rated.withColumn("_u", u).withColumn("_n", F.size(F.filter("cdf", lambda p: p <= F.col("_u"))))
-    copies = counted.where("_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    counted = rated.withColumn("__mix_u", u).withColumn("__mix_n", F.size(F.filter("__mix_cdf", lambda p: p <= F.col("__mix_u"))))
+    copies = counted.where("__mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
     shuffled = copies.withColumn("mix_order", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col(key).cast("string"), F.col("mix_copy").cast("string"), F.md5(F.coalesce(F.col(text), F.lit("-"))))))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return shuffled.select(*names, "mix_rate", "mix_copy", "mix_order").repartition(n, "mix_order").sortWithinPartitions("mix_order")

@@ -264,18 +264,18 @@ def with_surrogates(spark: SparkSession, docs: DataFrame, text: str = "text", id
     """
     work = Workspace(spark, "pii")
     docs = docs.drop("n_entities")
-    found = docs.withColumn("_values", found_values(F.col(text)))
-    some = found.where(F.size("_values") > 0).withColumn("_hash", F.xxhash64(text))
-    seen = some.select(F.col(id_column).alias("_id"), "_hash", F.posexplode("_values").alias("_at", "_value"))
-    seen = work.stage(seen.select("_id", "_hash", "_at", _described(F.col("_value")).alias("e")).select("_id", "_hash", "_at", "e.kind", "e.canon", "e.gender"), "seen")
+    found = docs.withColumn("__pii_values", found_values(F.col(text)))
+    some = found.where(F.size("__pii_values") > 0).withColumn("__pii_hash", F.xxhash64(text))
+    seen = some.select(F.col(id_column).alias("__pii_id"), "__pii_hash", F.posexplode("__pii_values").alias("__pii_at", "__pii_value"))
+    seen = work.stage(seen.select("__pii_id", "__pii_hash", "__pii_at", _described(F.col("__pii_value")).alias("e")).select("__pii_id", "__pii_hash", "__pii_at", "e.kind", "e.canon", "e.gender"), "seen")
     mapped = seen.join(surrogates(seen, key, work), ["kind", "canon"])
-    lists = mapped.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set(F.struct("_at", "surrogate"))).alias("_new"))
-    lists = lists.withColumnRenamed("_hash", "_list_hash")
-    joined = some.join(lists, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_list_hash")))
+    lists = mapped.groupBy("__pii_id", "__pii_hash").agg(F.array_sort(F.collect_set(F.struct("__pii_at", "surrogate"))).alias("__pii_new"))
+    lists = lists.withColumnRenamed("__pii_hash", "__pii_list_hash")
+    joined = some.join(lists, F.col(id_column).eqNullSafe(F.col("__pii_id")) & (F.col("__pii_hash") == F.col("__pii_list_hash")))
     gaps = F.split(F.col(text), ENTITY, -1)
-    pieces = F.zip_with("_values", "_new", lambda v, n: _rendered(_described(v), n["surrogate"]))
+    pieces = F.zip_with("__pii_values", "__pii_new", lambda v, n: _rendered(_described(v), n["surrogate"]))
     whole = F.concat(gaps[0], F.array_join(F.zip_with(F.slice(gaps, F.lit(2), F.size(gaps) - 1), pieces, lambda g, p: F.concat(p, g)), ""))
     names = docs.columns
-    changed = joined.withColumn("n_entities", F.size("_values")).withColumn(text, whole).select(*names, "n_entities")
-    same = found.where(F.col("_values").isNull() | (F.size("_values") == 0)).withColumn("n_entities", F.lit(0)).select(*names, "n_entities")
+    changed = joined.withColumn("n_entities", F.size("__pii_values")).withColumn(text, whole).select(*names, "n_entities")
+    same = found.where(F.col("__pii_values").isNull() | (F.size("__pii_values") == 0)).withColumn("n_entities", F.lit(0)).select(*names, "n_entities")
     return changed.unionByName(same)

@@ -207,8 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, bag_passages:
     return train([b for b, _ in bags.values()], np.array([q for _, q in bags.values()], dtype=np.float64))
 
 
-def scored(spark: SparkSession, rows: DataFrame, model: Attention | float, text: str = "text") -> DataFrame:
-    """``rows`` with a column score; a map without a shuffle."""
+def scored(spark: SparkSession, rows: DataFrame, model: Attention | float, text: str = "text", out: str = "score") -> DataFrame:
+    """``rows`` with a column ``out``, which they mustn't have yet; a map without a shuffle."""
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,10 +229,10 @@ def scored(spark: SparkSession, rows: DataFrame, model: Attention | float, text:
                     chunk, size = [], 0
             done(chunk)
             score = np.concatenate(scores) if scores else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(releasing(run), f"{schema}, score double")
+    return rows.mapInArrow(releasing(run), f"{schema}, `{out}` double")
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:

@@ -88,3 +88,18 @@ def test_repeated_rows_and_null_ids(spark, sf_dir):
     docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11)] * 2 + [(None, "a b c d e f", "en", "s", 11), (None, None, None, None, None), (2, "", "en", "s", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     left = cp.near_duplicate(spark, docs, sf_dir).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (0, "a b c d e f"), (1, "a b c d e f"), (2, "")]
+
+
+def test_columns_with_the_operators_names_stay(spark, sf_dir, stages):
+    own = {"score": 7, "n_entities": 8, "mix_rate": 9, "mix_copy": 10, "source_key": 11, "cdf": 12, "_values": 13, "_n": 14, "label": 15, "__quality_": 16}
+    docs = stages[0].limit(60).withColumns({k: F.lit(v) for k, v in own.items()})
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[k] == v for r in found for k, v in own.items())
+
+
+@pytest.mark.parametrize("i", range(5))
+def test_empty_tables(spark, sf_dir, stages, i):
+    assert cp.STAGES[i][1](spark, stages[0].limit(0), sf_dir).count() == 0
