@@ -39,7 +39,7 @@ PATTERNS = {
     "secret": _SECRET_HEAD + r"[^\s\"']{6,200}|AKIA[0-9A-Z]{16}",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\p{L}\p{N}])",
+    "card": r"(?:4\d{12}(?:\d{3}){0,2}|(?:5[1-5]|2[2-7]|35|65)\d{14}|6011\d{12}|3[4678]\d{12,13}|(?:4\d|5[1-5]|2[2-7]|35|60|65)\d\d[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|3[47]\d\d[ \-]\d{6}[ \-]\d{5})(?![\p{L}\p{N}])",
     "phone": r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,5}(?!\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d)",
     "name": rf"(?:(?:{_TITLE})\.? {_CAP}(?: {_CAP}){{0,2}}|(?:{_GIVEN}) {_CAP}(?: {_CAP})?)",
@@ -58,6 +58,8 @@ ENDINGS = {
     ("cyrillic", "family", "f"): ("ова", "ева", "ина", "ская"), ("cyrillic", "family", "m"): ("ов", "ев", "ин", "ский"), ("cyrillic", "family", "n"): ("ко", "ук", "як", "дзе"),
 }
 
+#: What looks like an entity and isn't one: a card's number that fails the Luhn test. It stays as it is.
+NONE = "none"
 _DIGITS_ONLY = ("card", "phone", "ssn", "iban")
 MAX_ROUNDS = 40
 
@@ -92,6 +94,7 @@ def _described(value: Column) -> Column:
     for name in reversed([k for k in PATTERNS if k != "name"]):
         kind = F.when(_is(value, name), name).otherwise(kind)
     alnum = F.regexp_replace(value, r"[^0-9A-Za-z]", "")
+    kind = F.when((kind == "card") & (F.pmod(_luhn_sum(alnum), F.lit(10)) != 0), NONE).otherwise(kind)
     _, given, family, gender = _split_name(value)
     canon = (
         F.when(kind == "name", F.concat(F.lower(given), F.lit("|"), F.lower(family)))
@@ -104,9 +107,15 @@ def _described(value: Column) -> Column:
 
 
 def found_values(text: Column) -> Column:
+    """All matches of the pattern, also those of kind ``none``."""
     return F.regexp_extract_all(text, F.lit(ENTITY), 0)
 
 
+def _counted(values: Column) -> Column:
+    """How many of the matches are entities."""
+    return F.size(F.filter(values, lambda v: ~(_is(v, "card") & (F.pmod(_luhn_sum(F.regexp_replace(v, "[^0-9]", "")), F.lit(10)) != 0))))
+
+
 # --- surrogates --------------------------------------------------------------
 
 
@@ -219,7 +228,7 @@ def _assigned(entities: DataFrame, key: str, work: Workspace, name: str) -> Data
 
 def surrogates(occurrences: DataFrame, key: str, work: Workspace) -> DataFrame:
     """kind, canon, surrogate of all entities among the occurrences; a full name's surrogate joins those of its parts by ``|``."""
-    entities = work.stage(occurrences.groupBy("kind", "canon").agg(F.min("gender").alias("gender")), "entities")
+    entities = work.stage(occurrences.where(F.col("kind") != NONE).groupBy("kind", "canon").agg(F.min("gender").alias("gender")), "entities")
     names = entities.where("kind = 'name'").withColumn("given", F.split_part("canon", F.lit("|"), F.lit(1))).withColumn("family", F.split_part("canon", F.lit("|"), F.lit(2)))
     parts = names.select(F.explode(F.array(F.struct(F.lit("given").alias("kind"), F.col("given").alias("canon")), F.struct(F.lit("family").alias("kind"), F.col("family").alias("canon")))).alias("p"), "gender")
     parts = parts.where("p.canon <> ''").groupBy("p.kind", "p.canon").agg(F.min("gender").alias("gender"))
@@ -249,7 +258,7 @@ def _rendered(entity: Column, surrogate: Column) -> Column:
     placed = F.concat(F.aggregate(_chars(value), start, place, lambda a: a["out"]), F.substring(surrogate, F.length(entity["canon"]) + 1, F.length(surrogate)))
     secret = F.concat(F.regexp_extract(value, rf"\A({_SECRET_HEAD})?", 1), surrogate)
     plain = F.when((value == F.upper(value)) & (value != F.lower(value)), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind == "name", name).when(kind.isin(*_DIGITS_ONLY), placed).when(kind == "secret", secret).otherwise(plain)
+    return F.when(kind == NONE, value).when(kind == "name", name).when(kind.isin(*_DIGITS_ONLY), placed).when(kind == "secret", secret).otherwise(plain)
 
 
 def with_surrogates(spark: SparkSession, docs: DataFrame, text: str = "text", id_column: str = "doc_id", key: str = "framelake") -> DataFrame:
@@ -264,11 +273,11 @@ def with_surrogates(spark: SparkSession, docs: DataFrame, text: str = "text", id
     """
     work = Workspace(spark, "pii")
     docs = docs.drop("n_entities")
-    found = docs.withColumn("__pii_values", found_values(F.col(text)))
-    some = found.where(F.size("__pii_values") > 0).withColumn("__pii_hash", F.xxhash64(text))
+    found = docs.withColumn("__pii_values", found_values(F.col(text))).withColumn("__pii_n", F.coalesce(_counted(F.col("__pii_values")), F.lit(0)))
+    some = found.where("__pii_n > 0").withColumn("__pii_hash", F.xxhash64(text))
     seen = some.select(F.col(id_column).alias("__pii_id"), "__pii_hash", F.posexplode("__pii_values").alias("__pii_at", "__pii_value"))
     seen = work.stage(seen.select("__pii_id", "__pii_hash", "__pii_at", _described(F.col("__pii_value")).alias("e")).select("__pii_id", "__pii_hash", "__pii_at", "e.kind", "e.canon", "e.gender"), "seen")
-    mapped = seen.join(surrogates(seen, key, work), ["kind", "canon"])
+    mapped = seen.join(surrogates(seen, key, work), ["kind", "canon"], "left")
     lists = mapped.groupBy("__pii_id", "__pii_hash").agg(F.array_sort(F.collect_set(F.struct("__pii_at", "surrogate"))).alias("__pii_new"))
     lists = lists.withColumnRenamed("__pii_hash", "__pii_list_hash")
     joined = some.join(lists, F.col(id_column).eqNullSafe(F.col("__pii_id")) & (F.col("__pii_hash") == F.col("__pii_list_hash")))
@@ -276,6 +285,6 @@ def with_surrogates(spark: SparkSession, docs: DataFrame, text: str = "text", id
     pieces = F.zip_with("__pii_values", "__pii_new", lambda v, n: _rendered(_described(v), n["surrogate"]))
     whole = F.concat(gaps[0], F.array_join(F.zip_with(F.slice(gaps, F.lit(2), F.size(gaps) - 1), pieces, lambda g, p: F.concat(p, g)), ""))
     names = docs.columns
-    changed = joined.withColumn("n_entities", F.size("__pii_values")).withColumn(text, whole).select(*names, "n_entities")
-    same = found.where(F.col("__pii_values").isNull() | (F.size("__pii_values") == 0)).withColumn("n_entities", F.lit(0)).select(*names, "n_entities")
+    changed = joined.withColumn("n_entities", F.col("__pii_n")).withColumn(text, whole).select(*names, "n_entities")
+    same = found.where("__pii_n = 0").withColumn("n_entities", F.lit(0)).select(*names, "n_entities")
     return changed.unionByName(same)
