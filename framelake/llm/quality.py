@@ -10,7 +10,11 @@ every passage of every text.
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,6 +141,22 @@ class Attention:
         return [f["z"].T @ d_h, d_h.sum(axis=0), h.T @ d_t, h.T @ d_s, (t * s).T @ d_e, f["pooled"].T @ d, np.array([d.sum()])]
 
 
+@contextmanager
+def _one_blas_thread() -> Iterator[None]:
+    """Products of small matrices, where NumPy's OpenBLAS loses more to its threads than it gains. Without that library nothing changes."""
+    found = glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*"))
+    library = ctypes.CDLL(found[0]) if found else None
+    count, limit = (getattr(library, f"scipy_openblas_{x}_num_threads64_", None) for x in ("get", "set"))
+    before = count() if count and limit else 0
+    if before:
+        limit(1)
+    try:
+        yield
+    finally:
+        if before:
+            limit(before)
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, steps: int = 1200, hidden: int = 24, gate: int = 12, batch: int = 64, rate: float = 4e-3, decay: float = 1e-2, seed: int = 5) -> Attention:
     """``steps`` batches of Adam on the cross-entropy of the documents' labels; the same bags in the same order give the same model.
 
@@ -204,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, bag_passages:
     bags = {}
     for r in sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.bag))):
         bags.setdefault(r.doc_id, (np.frombuffer(r.bag, dtype=np.float32).reshape(-1, FEATURES), r.quality))
-    return train([b for b, _ in bags.values()], np.array([q for _, q in bags.values()], dtype=np.float64))
+    with _one_blas_thread():
+        return train([b for b, _ in bags.values()], np.array([q for _, q in bags.values()], dtype=np.float64))
 
 
 def scored(spark: SparkSession, rows: DataFrame, model: Attention | float, text: str = "text", out: str = "score") -> DataFrame:
