@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each component with the least doc_id, as one row (of rows with one doc_id the one whose text sorts first); rows without a doc_id stay."""
+    """The document of each component with the least doc_id, as one row (of rows with one doc_id the one whose text sorts first); rows without a doc_id stay. The likeness that links is op5's, 0.85."""
     kept = near_duplicates(spark, docs).where("kept and doc_id is not null").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
     one = docs.join(kept, "doc_id", "left_semi").withColumn("__place", F.row_number().over(first)).where("__place = 1").select(docs.columns)

@@ -3,12 +3,13 @@
 A text's set is its distinct word shingles; its signature has ``COORDINATES``
 least hash values, each with its coordinate in its low bits, so a value is a
 (coordinate, value) pair. Texts with one set are one class. Classes are posted
-under their pairs; two classes whose likeness is 0.85 share fewer than
-``MATCHES`` of 64 pairs with a chance of about one in a million, so only those
-that MATCHES collisions connect are compared, on full sets.
+under their pairs; two classes of the least likeness that links share fewer
+than ``needed_matches`` of 64 pairs (40 at 0.85, 35 at 0.80) with a chance of at
+most ``MISSED``, so only those that so many collisions connect are compared, on
+full sets.
 
 Prefix: with pairs ordered by how many classes post them, two classes with
-MATCHES collisions share one of their COORDINATES - MATCHES + 1 rarest pairs;
+``matches`` collisions share one of their COORDINATES - matches + 1 rarest pairs;
 only these are posted. A passage that many texts share makes common pairs, which
 come last and aren't posted, unless they are most of a text.
 
@@ -28,6 +29,7 @@ links, so no link is lost between components and no pairs are listed.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -40,8 +42,9 @@ from pyspark.sql import functions as F
 from .common import Workspace, releasing, small_batches
 
 WORDS = 5
-COORDINATES, MATCHES = 64, 40
-PREFIX = COORDINATES - MATCHES + 1
+COORDINATES = 64
+#: The chance that a pair of the least likeness that links isn't compared is at most this.
+MISSED = 2.5e-6
 LEADER_ROUNDS = 2
 BLOCK = 256
 
@@ -117,13 +120,23 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
 # --- candidates --------------------------------------------------------------
 
 
-def prefix_postings(reps: DataFrame, work: Workspace) -> DataFrame:
+def needed_matches(percent: int) -> int:
+    """The most collisions that a pair of this likeness has, but for a chance of MISSED."""
+    p, below = percent / 100, 0.0
+    for n in range(COORDINATES):
+        below += math.comb(COORDINATES, n) * p**n * (1 - p) ** (COORDINATES - n)
+        if below > MISSED:
+            return n
+    return COORDINATES
+
+
+def prefix_postings(reps: DataFrame, work: Workspace, matches: int) -> DataFrame:
     """(token, rep): each class under its rarest pairs, where the prefix of another class has the pair too."""
     tokens = reps.select("rep", F.explode("sig").alias("token"))
     shared = work.stage(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     ranked = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("own"))
     # pairs of one class only come first in the order and take their places in the prefix
-    places = F.greatest(F.lit(0), F.size("own") - (COORDINATES - PREFIX))
+    places = F.greatest(F.lit(0), F.size("own") - (matches - 1))
     posted = work.stage(ranked.select("rep", F.explode(F.slice("own", 1, places)).alias("x")).select("rep", "x.token"), "posted")
     kept = work.stage(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "kept-tokens")
     return work.stage(posted.join(kept, "token").select("token", "rep"), "postings")
@@ -180,8 +193,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns:
         yield key, held
 
 
-def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per group of signatures a spanning forest of the pairs with MATCHES collisions whose sizes allow the likeness."""
+def _matching(batches: Iterator[pa.RecordBatch], matches: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Per group of signatures a spanning forest of the pairs with enough collisions whose sizes allow the likeness."""
     for _, rows in _grouped(batches, ("token", "bi", "bj"), ("rep", "n_shingles", "sig")):
         if len(rows) < 2:
             continue
@@ -189,8 +202,8 @@ def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs = np.stack([s.values.to_numpy(zero_copy_only=False) for *_, s in rows])
         near = np.zeros((len(ids), len(ids)), dtype=bool)
         for i in range(len(ids) - 1):
-            near[i, i + 1 :] = (sigs[i + 1 :] == sigs[i]).sum(axis=1) >= MATCHES
-        near &= 100 * np.minimum.outer(sizes, sizes) >= 85 * np.maximum.outer(sizes, sizes)
+            near[i, i + 1 :] = (sigs[i + 1 :] == sigs[i]).sum(axis=1) >= matches
+        near &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
         if pairs := _forest(near | near.T, ids):
             yield _pairs_batch(pairs)
 
@@ -207,16 +220,16 @@ def _blocks_of_mixed(labelled: DataFrame, group: str) -> DataFrame:
     return lists.select(group, F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
 
 
-def block_matches(labelled: DataFrame, reps: DataFrame, work: Workspace) -> DataFrame:
+def block_matches(labelled: DataFrame, reps: DataFrame, work: Workspace, matches: int, percent: int) -> DataFrame:
     """(a, b): for the posting lists that still differ in cluster, spanning forests of their matches."""
     mixed = work.stage(_blocks_of_mixed(labelled, "token"), "mixed-lists")
     rows = _in_blocks(labelled.join(mixed, "token")).join(reps.select("rep", "n_shingles", "sig"), "rep")
     dealt = rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
-    return dealt.mapInArrow(_matching, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(lambda it: _matching(it, matches, percent), "a bigint, b bigint").distinct()
 
 
-def match_clusters(reps: DataFrame, postings: DataFrame, work: Workspace) -> DataFrame | None:
-    """(rep, label) of the classes in clusters that MATCHES collisions connect; None if there are none."""
+def match_clusters(reps: DataFrame, postings: DataFrame, work: Workspace, matches: int, percent: int) -> DataFrame | None:
+    """(rep, label) of the classes in clusters that ``matches`` collisions connect; None if there are none."""
     labels = tested = None
     for turn in range(LEADER_ROUNDS + 1):
         label: Column = F.col("rep") if labels is None else F.coalesce("label", F.col("rep"))
@@ -228,9 +241,9 @@ def match_clusters(reps: DataFrame, postings: DataFrame, work: Workspace) -> Dat
             if asked.isEmpty():
                 continue
             tested = asked if tested is None else tested.unionByName(asked)
-            found = work.stage(colliding(asked, reps), f"matches{turn}")
+            found = work.stage(colliding(asked, reps, matches, percent), f"matches{turn}")
         else:
-            found = work.stage(block_matches(labelled, reps, work), f"matches{turn}")
+            found = work.stage(block_matches(labelled, reps, work, matches, percent), f"matches{turn}")
         work.drop(f"labelled{turn}")
         if not found.isEmpty():
             labels = merged(labels, found, work, f"clusters{turn}")
@@ -240,12 +253,12 @@ def match_clusters(reps: DataFrame, postings: DataFrame, work: Workspace) -> Dat
 # --- comparing ---------------------------------------------------------------
 
 
-def colliding(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose signatures have MATCHES collisions and whose sizes allow the likeness."""
+def colliding(pairs: DataFrame, reps: DataFrame, matches: int, percent: int) -> DataFrame:
+    """The pairs whose signatures have ``matches`` collisions and whose sizes allow the likeness."""
     side = lambda k: reps.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return joined.where(100 * F.least("na", "nb") >= 85 * F.greatest("na", "nb")).where(equal >= MATCHES).select("a", "b").distinct()
+    return joined.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(equal >= matches).select("a", "b").distinct()
 
 
 def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -378,21 +391,24 @@ def cluster_links(spark: SparkSession, clusters: DataFrame, texts: DataFrame, wo
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 85) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least doc_id that links lead to), kept (doc_id is that).
 
-    Two texts are linked when 100 * common >= percent * all shingles, percent 85
-    or more. Null and empty texts and texts of white space have no shingles and
+    Two texts are linked when 100 * common >= percent * all shingles, percent 20
+    to 100. Null and empty texts and texts of white space have no shingles and
     no links. Rows with one key are one document, linked if any of its texts is.
     A null key takes no part: its component_id is null and it is kept. An empty
     table gives no rows; other columns are left out.
     """
+    if not 20 <= percent <= 100:
+        raise ValueError(f"percent {percent} is not from 20 to 100")
+    matches = needed_matches(percent)
     work = Workspace(spark, "neardup")
     narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with small_batches(spark):
         signed = work.stage(narrow.mapInArrow(releasing(lambda it: _signed(it, words), _forget_words), "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>"), "signed")
     firsts = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
     reps = work.stage(firsts.select("digest", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.sig"), "reps")
-    postings = prefix_postings(reps, work)
+    postings = prefix_postings(reps, work, matches)
     work.drop("shared", "posted", "kept-tokens")
-    clusters = match_clusters(reps, postings, work)
+    clusters = match_clusters(reps, postings, work, matches, percent)
     labels = None
     if clusters is not None:
         texts = work.stage(narrow.join(clusters.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct(), "texts")

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from framelake.llm.neardup import near_duplicates, shingle_set, signature
+from framelake.llm.neardup import near_duplicates, needed_matches, shingle_set, signature
 
 SCHEMA = "doc_id bigint, text string, component_id string, token int"
 
@@ -94,3 +94,20 @@ def test_signatures_keep_their_coordinate():
     s = signature(shingle_set("a b c d e f g"))
     assert [int(x) & 63 for x in s] == list(range(64))
     assert (signature(shingle_set("A b  c d e f g")) == s).all()
+
+
+def test_lower_likeness_links_too(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(12):  # the shorter one is 81 of the 100 shingles of the longer one
+        text = words(rng, 104)
+        rows += [(2 * i, " ".join(text), "x", 1), (2 * i + 1, " ".join(text[:85]), "x", 1)]
+    got = near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), percent=80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i - i % 2) for i in range(24)]
+    assert all(r.kept for r in near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).collect())
+
+
+def test_matches_follow_the_likeness():
+    assert (needed_matches(85), needed_matches(80), needed_matches(100)) == (40, 35, 64)
+    with pytest.raises(ValueError):
+        near_duplicates(None, None, percent=10)
