@@ -36,7 +36,7 @@ _SECRET_HEAD = r"(?:(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?
 #: By type, in the order in which alternatives are tried.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
-    "secret": _SECRET_HEAD + r"[^\s\"']{6,200}|AKIA[0-9A-Z]{16}",
+    "secret": _SECRET_HEAD + r"[^\s\"']{6,}+|AKIA[0-9A-Z]{16}",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?:4\d{12}(?:\d{3}){0,2}|(?:5[1-5]|2[2-7]|35|65)\d{14}|6011\d{12}|3[4678]\d{12,13}|(?:4\d|5[1-5]|2[2-7]|35|60|65)\d\d[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|3[47]\d\d[ \-]\d{6}[ \-]\d{5})(?![\p{L}\p{N}])",
@@ -130,20 +130,20 @@ def _pick(options: tuple[str, ...], byte: Column) -> Column:
 
 def _same_format(text: Column, digest: Column) -> Column:
     """Digits for digits, letters for letters of the same case (hexadecimal ones in a hexadecimal text); the rest stays."""
-    hexadecimal = text.rlike(r"\A[0-9a-f]*\z")
+    once = F.array(F.struct(text.alias("text"), digest.alias("digest"), text.rlike(r"\A[0-9a-f]*\z").alias("hexadecimal")))  # not again for each character
 
-    def change(c: Column, i: Column) -> Column:
-        b = _byte(digest, i)
+    def change(held: Column, c: Column, i: Column) -> Column:
+        b = _byte(held["digest"], i)
         return (
             F.when(c.rlike("[0-9]"), F.pmod(b, F.lit(10)).cast("string"))
-            .when(c.rlike("[a-z]"), F.char(F.lit(97) + F.pmod(b, F.when(hexadecimal, 6).otherwise(26))))
+            .when(c.rlike("[a-z]"), F.char(F.lit(97) + F.pmod(b, F.when(held["hexadecimal"], 6).otherwise(26))))
             .when(c.rlike("[A-Z]"), F.char(F.lit(65) + F.pmod(b, F.lit(26))))
             .when(c.rlike(r"\p{IsCyrillic}"), _pick(tuple("абвгдежзиклмнопрст"), b))
             .when(c.rlike(r"\p{L}"), F.char(F.lit(97) + F.pmod(b, F.lit(26))))
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(_chars(text), change), "")
+    return F.transform(once, lambda held: F.array_join(F.transform(_chars(held["text"]), lambda c, i: change(held, c, i)), ""))[0]
 
 
 def _luhn_sum(digits: Column) -> Column:

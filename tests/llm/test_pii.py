@@ -79,3 +79,14 @@ def test_edges(spark):
 
 def test_another_key_gives_other_surrogates(spark):
     assert run(spark, ["joan.of@example.org"], key="a") != run(spark, ["joan.of@example.org"], key="b")
+
+
+def test_long_secrets_go_whole(spark):
+    jwt = "eyJhbGciOi." + "Qz7kX9" * 60 + ".sIgNaTuRe42"
+    texts = [f"token={jwt} end", f"see api_key: '{jwt}' end", f"token={jwt[:-1]}3 end", "secret=" + "k3Y" * 40_000]
+    got = run(spark, texts)
+    new = got[0][0].removeprefix("token=").removesuffix(" end")
+    assert [got[i][1] for i in range(4)] == [1] * 4 and len(new) == len(jwt) and new.count(".") == 2
+    assert not any(jwt[i : i + 12] in new for i in range(len(jwt) - 11))
+    assert got[1][0] == f"see api_key: '{new}' end" and got[2][0] != got[0][0]  # one secret, one surrogate; another, another
+    assert len(got[3][0]) == len(texts[3]) and "k3Yk3Y" not in got[3][0]
