@@ -2,8 +2,9 @@
 
 Each source gets a mean repetition rate: its target share of the output over
 its share of the input. A document's count is the Poisson quantile, at that
-mean, of a uniform number hashed from seed, key and text; it is exploded by its
-count, and all copies are shuffled by another hash.
+mean, of a uniform number hashed from seed, key and text; at a mean above
+``DRAW_RATE``, the sum of several such counts of equal means, of independent
+hashes. It is exploded by its count, and all copies are shuffled by another hash.
 """
 
 from __future__ import annotations
@@ -18,13 +19,18 @@ from .common import Workspace
 #: A source table of at most so many rows is broadcast (about 10 MB with its cumulative probabilities).
 BROADCAST_SOURCES = 20_000
 SALTS = 64
-MOST_RATE = 200.0
+#: The greatest mean of one draw: there exp(-mean) is still exact enough. A sum of Poisson counts is a Poisson count.
+DRAW_RATE = 200.0
+
+
+def hashed(*parts: Column) -> Column:
+    """The MD5 of the parts; null parts count as the text ``-``."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts]))
 
 
 def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from 52 bits of the MD5 of the parts; null parts count as the text ``-``."""
-    joined = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])
-    return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("bigint").cast("double") / float(2**52)
+    """A number in [0, 1) from 52 bits of the MD5 of the parts."""
+    return F.conv(F.substring(hashed(*parts), 1, 13), 16, 10).cast("bigint").cast("double") / float(2**52)
 
 
 def cumulative(rate: Column) -> Column:
@@ -40,11 +46,11 @@ def cumulative(rate: Column) -> Column:
 
 
 def mixing_rates(docs: DataFrame, source: str, weights: dict[str, float] | None, exponent: float, size: float) -> tuple[DataFrame, int]:
-    """Per source (null is one too): __mix_docs, rate, __mix_cdf; and how many sources there are.
+    """Per source (null is one too): __mix_docs, rate, __mix_draws, __mix_cdf (of one draw); and how many sources there are.
 
     ``weights`` name target shares (others get none); else a source's target is
     its count to the power ``exponent``. ``size`` is the output's expected rows
-    over the input's. Rates stop at 200, where exp(-rate) is still exact enough.
+    over the input's. A rate is split into draws of equal means of at most 200.
     """
     counts = docs.groupBy(F.col(source).cast("string").alias("__mix_key")).agg(F.count("*").alias("__mix_docs"))
     if weights is None:
@@ -55,9 +61,20 @@ def mixing_rates(docs: DataFrame, source: str, weights: dict[str, float] | None,
     whole = counts.withColumn("target", target)
     totals = whole.agg(F.sum("target").alias("targets"), F.sum("__mix_docs").alias("docs"), F.count("*").alias("sources")).first()
     share = F.col("target") / F.lit(float(totals.targets)) if totals.targets else F.lit(0.0)
-    rate = F.least(F.lit(MOST_RATE), share * F.lit(float(size) * (totals.docs or 0)) / F.col("__mix_docs"))
+    rate = share * F.lit(float(size) * (totals.docs or 0)) / F.col("__mix_docs")
     rated = whole.select("__mix_key", "__mix_docs", rate.alias("rate"))
-    return rated.withColumn("__mix_cdf", cumulative(F.col("rate"))), totals.sources
+    rated = rated.withColumn("__mix_draws", F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("rate") / DRAW_RATE)))
+    return rated.withColumn("__mix_cdf", cumulative(F.col("rate") / F.col("__mix_draws"))), totals.sources
+
+
+def _quantile(u: Column) -> Column:
+    return F.size(F.filter("__mix_cdf", lambda p: p <= u))
+
+
+def _further(identity: tuple[Column, ...]) -> Column:
+    """The sum of all draws after the first; the identity is hashed once for them."""
+    turns = F.sequence(F.lit(1).cast("bigint"), F.col("__mix_draws") - 1)
+    return F.transform(F.array(hashed(*identity)), lambda h: F.aggregate(turns, F.lit(0), lambda n, j: n + _quantile(uniform(F.lit("draw"), h, j))))[0]
 
 
 def replicated(
@@ -71,7 +88,8 @@ def replicated(
     source, a null key or text is hashed as ``-``. Empty tables give no rows.
     Columns of the input stay, and those named mix_rate, mix_copy or mix_order
     are replaced. Rates meet the documents by a broadcast when there are at most
-    20,000 sources, else by a join that deals each source over 64 salts.
+    20,000 sources, else by a join that deals each source over 64 salts. No rate
+    is too high; a document's copies must fit into one array.
     """
     work = Workspace(spark, "mixing")
     rates, sources = mixing_rates(docs, source, weights, exponent, size)
@@ -86,7 +104,7 @@ def replicated(
         dealt = rates.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         rated = rows.withColumn("__mix_s", salt).join(dealt, F.col("__mix_source").eqNullSafe(F.col("__mix_key")) & (F.col("__mix_s") == F.col("__mix_salt")))
     u = uniform(*identity)
-    counted = rated.withColumn("__mix_u", u).withColumn("__mix_n", F.size(F.filter("__mix_cdf", lambda p: p <= F.col("__mix_u"))))
+    counted = rated.withColumn("__mix_u", u).withColumn("__mix_n", _quantile(F.col("__mix_u")) + F.when(F.col("__mix_draws") > 1, _further(identity)).otherwise(0))
     copies = counted.where("__mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
     shuffled = copies.withColumn("mix_order", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col(key).cast("string"), F.col("mix_copy").cast("string"), F.md5(F.coalesce(F.col(text), F.lit("-"))))))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

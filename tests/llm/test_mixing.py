@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.llm import mixing
 from framelake.llm.mixing import expected_copies, replicated
@@ -56,3 +57,18 @@ def test_shares_and_order(spark):
 
 def test_empty(spark):
     assert run(spark, []) == Counter()
+
+
+def test_high_rates_are_met(spark):
+    many = [(i, f"t{i}", "rare" if i < 40 else "big", "") for i in range(400)]
+    got = replicated(spark, spark.createDataFrame(many, SCHEMA), weights={"rare": 1.0}, size=65.0)  # a rate of 650 in four draws
+    found = {r.doc_id: r for r in got.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("mix_copy").alias("copies"), F.max("mix_copy").alias("last"), F.max("mix_rate").alias("rate")).collect()}
+    expected = {}
+    for i in range(40):
+        first = hashlib.md5(f"17|{i}|t{i}".encode()).hexdigest()
+        own = [u(17, i, f"t{i}")] + [int(hashlib.md5(f"draw|{first}|{j}".encode()).hexdigest()[:13], 16) / 2**52 for j in (1, 2, 3)]
+        expected[i] = sum(expected_copies(162.5, x) for x in own)
+    assert {i: r.n for i, r in found.items()} == expected
+    assert all(r.rate == 650.0 and r.copies == r.n == r.last + 1 for r in found.values())
+    mean = sum(expected.values()) / 40
+    assert abs(mean - 650) < 20 and 300 < sum((n - mean) ** 2 for n in expected.values()) / 39 < 1200  # a Poisson count's variance is its mean
