@@ -11,6 +11,10 @@ from ..sources.readers import archive_name, mapped_path, member_name
 from .proxies import lines, objects, speech, sql, table
 
 
+#: A dictionary of more terms is an error.
+MOST_TERMS = 1_000_000
+
+
 def q_strip_accents(spark, d):
     return table(spark, d, "documents").select("doc_id", text.strip_accents(F.col("text")).alias("folded"))
 
@@ -82,7 +86,9 @@ def q_resolve(spark, d):
 
 
 def q_known_terms(spark, d):
-    names = [r.p_name for r in table(spark, d, "part").select("p_name").distinct().limit(5000).collect()]
+    names = [r.p_name for r in table(spark, d, "part").select("p_name").where("p_name is not null").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(names) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} names don't fit into a broadcast dictionary")
     entries = {n: n.upper() for n in names} | {"the": "THE", "of the": "OF THE"}
     return dictionary.known_terms(table(spark, d, "documents"), entries, "doc_id", "text")
 
