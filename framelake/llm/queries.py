@@ -10,7 +10,7 @@ from .fingerprint import fingerprints
 from .mixing import replicated
 from .neardup import near_duplicates
 from .pieces import encode_documents
-from .pii import with_surrogates
+from .pii import surrogate_key, with_surrogates
 from .quality import quality_scores
 from .topk import top_k_inner
 from .vocab import token_counts
@@ -25,7 +25,7 @@ def op1_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_surrogates(spark, table(spark, sf_dir, "documents"))
+    return with_surrogates(spark, table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

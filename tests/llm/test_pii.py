@@ -7,7 +7,7 @@ SCHEMA = "doc_id int, text string, kind string, canon string, n_entities string"
 
 def run(spark, texts, **kw):
     rows = [(i, t, "k", "c", "n") for i, t in enumerate(texts)]
-    got = with_surrogates(spark, spark.createDataFrame(rows, SCHEMA), **kw).collect()
+    got = with_surrogates(spark, spark.createDataFrame(rows, SCHEMA), **{"key": "k"} | kw).collect()
     assert all(r.kind == "k" and r.canon == "c" for r in got)
     return {r.doc_id: (r.text, r.n_entities) for r in got}
 
@@ -72,9 +72,9 @@ def test_edges(spark):
     assert got[0] == (None, 0) and got[1] == ("", 0) and got[2] == (clean, 0) and got[5] == (texts[5], 0)
     assert got[3][0].startswith("word ") and got[3][1] == 1 and got[4][1] == 3000 and len(set(got[4][0].split())) == 1
     frame = spark.createDataFrame([(None, "a.b@c.org"), (None, "a.b@c.org"), (1, "a.b@c.org x"), (1, "y a.b@c.org")], "doc_id int, text string")
-    rows = with_surrogates(spark, frame).collect()
+    rows = with_surrogates(spark, frame, "k").collect()
     assert len(rows) == 4 and len({w for r in rows for w in r.text.split() if "@" in w}) == 1
-    assert with_surrogates(spark, spark.createDataFrame([], "doc_id int, text string")).count() == 0
+    assert with_surrogates(spark, spark.createDataFrame([], "doc_id int, text string"), "k").count() == 0
 
 
 def test_another_key_gives_other_surrogates(spark):
@@ -90,3 +90,46 @@ def test_long_secrets_go_whole(spark):
     assert not any(jwt[i : i + 12] in new for i in range(len(jwt) - 11))
     assert got[1][0] == f"see api_key: '{new}' end" and got[2][0] != got[0][0]  # one secret, one surrogate; another, another
     assert len(got[3][0]) == len(texts[3]) and "k3Yk3Y" not in got[3][0]
+
+
+def test_hostile_texts_take_linear_time(spark):
+    import time
+
+    texts = ["x@" + "b." * 100_000, "a-" * 500_000, "1." * 200_000, "secret=" + "q7X" * 33_334, "x@b." * 100_000, "+1" * 100_000, "Ab " * 100_000, "ab:" * 100_000, "Mr. John Smith and " * 20_000]
+    run(spark, ["warm up a@b.cc"])
+    for i, text in enumerate(texts):
+        began = time.monotonic()
+        new, n = run(spark, [text])[0]
+        assert time.monotonic() - began < 12, i
+        if i in (0, 1, 2, 5, 6, 7):
+            assert (new, n) == (text, 0)
+    assert len(new) > 0 and "John" not in new and "Smith" not in new
+
+
+def test_names_are_linked_inside_a_text(spark):
+    texts = [
+        "John Smith went home. Later Smith slept. Mr Smith woke. John's Smithson.", "Wei Zhang and Priya Patel called.", "Smith alone. The Apache License.",
+        "My name is Bo. Bo said no.", "Xu Qing and Ola Berg called. Qing left.", "Licensed under the Apache License, the General Public License said", "Иван Петров и Анна Петрова", "κ. Κύριος Παπάς",
+    ]
+    got = run(spark, texts)
+    words = re.findall(r"\w+", got[0][0])
+    assert got[0][1] == 4 and words[1] == words[5] == words[8] != "Smith" and words[0] == words[10] != "John" and words[12] == "Smithson"
+    assert got[1][1] == 2 and not re.search("Wei|Zhang|Priya|Patel", got[1][0]) and got[1][0].endswith(" called.")
+    assert got[2] == (texts[2], 0) and got[5] == (texts[5], 0)
+    assert got[3][1] == 2 and re.fullmatch(r"My name is (\w+)\. \1 said no\.", got[3][0])
+    assert re.fullmatch(r"\w+ (\w+) and \w+ \w+ called\. \1 left\.", got[4][0]) and "Qing" not in got[4][0]
+    assert re.fullmatch("[А-Яа-я]+ [А-Яа-я]+ и [А-Яа-я]+ [А-Яа-я]+(ова|ева|ина|ская)", got[6][0])
+    assert re.fullmatch(r"κ\. Κύριος [Ͱ-Ͽἀ-῿]+", got[7][0]) and "Παπάς" not in got[7][0]
+
+
+def test_compressed_addresses_and_tokens(spark):
+    got = run(spark, ["host fe80::1ff:fe23:4567:890a up, std::abs and 12:30:45", "ghp_" + "a1B2c3D4e5" * 4, "sk-" + "Z9y8X7w6v5" * 3])
+    assert re.fullmatch(r"host [0-9a-f]{4}::[0-9a-f]{3}:[0-9a-f]{4}:\d{4}:[0-9a-f]{4} up, std::abs and 12:30:45", got[0][0]) and "fe23" not in got[0][0]
+    assert got[1][0].startswith("ghp_") and "a1B2" not in got[1][0] and got[2][0].startswith("sk-") and "Z9y8" not in got[2][0]
+
+
+def test_a_key_is_needed(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        with_surrogates(spark, spark.createDataFrame([], "doc_id int, text string"), "")
