@@ -9,7 +9,7 @@ from framelake.llm.common import Workspace, table
 from framelake.llm.mixing import replicated
 from framelake.llm.neardup import near_duplicates
 from framelake.llm.pieces import encode_documents
-from framelake.llm.pii import with_surrogates
+from framelake.llm.pii import surrogate_key, with_surrogates
 from framelake.llm.quality import fit, scored
 from framelake.llm.queries import TOKENIZERS
 
@@ -41,7 +41,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, entities replaced by surrogates; n_chars follows the text."""
-    done = with_surrogates(spark, _aside(docs, "n_entities"))
+    done = with_surrogates(spark, _aside(docs, "n_entities"), surrogate_key(spark))
     length = F.when(F.col("n_entities") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return _back(done.withColumn("n_chars", length), docs)
 
