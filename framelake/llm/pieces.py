@@ -2,8 +2,9 @@
 
 The model file's protobuf is parsed here (its wire format, no generated
 classes); normaliser, metaspace marker, scores or merges and byte fallback are
-rebuilt from it. Batches are encoded on several threads, and every text's ids
-are compared with the sentencepiece library's.
+rebuilt from it. Batches of whole texts are encoded on several threads; the ids
+are this tokenizer's, and every text's are compared with the sentencepiece
+library's.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SPACE = "▁"
 # Piece types and model types of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: A score that any other path beats.
+NEVER = -1e5
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -133,7 +136,8 @@ def build_tokenizer(model: Model, cache: int = 10_000):
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     if model.kind == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unk_id, byte_fallback=model.byte_fallback)
+        # names of control, unknown and byte pieces that stand in a text are no pieces there: no best path has them
+        core = models.Unigram([(p, s if t in (NORMAL, USER_DEFINED) else NEVER) for p, s, t in model.pieces], unk_id=model.unk_id, byte_fallback=model.byte_fallback)
     elif model.kind == BPE:
         vocabulary = {p: i for i, (p, _, _) in enumerate(model.pieces)}
         core = models.BPE(vocabulary, merges(model), unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=cache)
@@ -159,84 +163,66 @@ def build_tokenizer(model: Model, cache: int = 10_000):
     return tokenizer
 
 
+def _reference(data: bytes):
+    """The sentencepiece library with the model, to compare with; None where it isn't installed."""
+    try:
+        import sentencepiece
+    except ImportError:
+        return None
+    return sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
 class Codec:
-    """The rebuilt tokenizer beside the sentencepiece library with the same model file.
+    """The rebuilt tokenizer, whose ids are the result, beside the sentencepiece library, which they are compared with.
 
-    Where no piece crosses from one word into the next, a text's ids are those
-    of its words. Words of a batch that aren't known yet are encoded by both
-    libraries, compared, decoded and entered in a table of at most ``most``
-    words; a text is at parity, or comes back, if all its words do. Else whole
-    texts are encoded, on several threads, and compared.
+    Whole texts are encoded in batches on ``threads`` threads. Where no piece
+    crosses from one word into the next, a text of more than ``LONG`` characters
+    is encoded in parts, cut at single blanks: the blank is the mark that each
+    part gets at its beginning, so the ids are those of the whole.
     """
 
-    def __init__(self, data: bytes, threads: int = 2, most: int = 800_000):
+    LONG = 1_000_000
+
+    def __init__(self, data: bytes, threads: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        import sentencepiece
-
         model = parse_model(data)
-        self.tokenizer, self.core = build_tokenizer(model), build_tokenizer(model, 0)
-        self.core.normalizer = self.core.pre_tokenizer = None
-        normal = [p for p, _, t in model.pieces if t == NORMAL]
+        self.tokenizer, self.reference, self.threads = build_tokenizer(model), _reference(data), threads
         self.exact = not model.charsmap and not model.strip_extra
-        self.apart = _words_apart(model) and self.exact and model.escape and model.dummy_prefix and not any(t == USER_DEFINED for _, _, t in model.pieces)
-        lines = "" if any("\n" in p for p in normal) else "\n"  # no piece has a line's end: lines are words apart too
-        self.words, self.threads, self.most = re.compile(f" +[^ {lines}]*|[^ {lines}]+" + "|\n+" * bool(lines)), threads, most
-        self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.ends, self.same, self.back = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool), np.empty(0, bool)
-
-    def _learn(self, words: list[str]) -> None:
-        """Enter words, with blanks for marks. A word follows a letter, one that begins a line a line's end too: so it keeps its mark, and nothing joins it."""
-        for lead in ("a", "a\n"):
-            plain = [w for w in words if (w[0] == " ") == (lead == "a")]
-            if not plain:
-                continue
-            part = [w.replace(" ", SPACE) for w in plain]
-            head = self.reference.encode(lead)
-            found = self.core.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, sizes = found.ids, np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part))
-            right = [x[len(head) :] for x in self.reference.encode([lead + w for w in plain], num_threads=self.threads)]
-            expected = [i for x in right for i in x]
-            same, back = np.ones(len(part), bool), np.ones(len(part), bool)
-            if ids != expected or self.core.decode([*head, *ids], skip_special_tokens=False) != lead + "".join(plain):  # find which words differ
-                own = self.core.encode_batch_fast(part, add_special_tokens=False)
-                same = np.array([a.ids == b for a, b in zip(own, right, strict=True)])
-                decoded = self.core.decode_batch([[*head, *x] for x in right], skip_special_tokens=False)
-                back = np.array([d == lead + w for d, w in zip(decoded, plain, strict=True)])
-                sizes = np.array([len(x) for x in right])
-            first = len(self.known)
-            self.known.update(zip(plain, range(first, first + len(plain)), strict=True))
-            self.ids = np.concatenate([self.ids, np.array(expected, dtype=np.int32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
-            self.same, self.back = np.concatenate([self.same, same]), np.concatenate([self.back, back])
-
-    def checked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, ids per text, equal to the reference's, decoded to the normalised text); where ids differ, the reference's stand."""
-        if not self.apart:
-            ids, expected = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], self.reference.encode(texts, num_threads=self.threads)
-            decoded, wanted = self.decode(expected), texts if self.exact else self.reference.decode(expected)
-            flat = np.fromiter((i for e in expected for i in e), np.int32)
-            return flat, np.array([len(e) for e in expected], dtype=np.int64), np.array([a == e for a, e in zip(ids, expected, strict=True)], bool), np.array([d == w for d, w in zip(decoded, wanted, strict=True)], bool)
-        # a mark that stands in a text is a blank to the model, and comes back as one
-        clean = np.array([SPACE not in t for t in texts], dtype=bool)
-        split = [self.words.findall(" " + (t if c else t.replace(SPACE, " "))) if t else [] for t, c in zip(texts, clean.tolist(), strict=True)]
-        if len(self.known) > self.most:
-            self.forget()
-        counts, flat_words = np.array([len(w) for w in split], dtype=np.int64), [w for words in split for w in words]
-        at = list(map(self.known.get, flat_words))
-        if None in at:
-            self._learn(list({w for w, i in zip(flat_words, at, strict=True) if i is None}))
-            at = list(map(self.known.__getitem__, flat_words))
-        at = np.array(at, dtype=np.int64)
-        sizes = self.ends[at + 1] - self.ends[at]
-        stops = np.cumsum(sizes)
-        flat = self.ids[np.repeat(self.ends[at] - (stops - sizes), sizes) + np.arange(int(sizes.sum()))]
-        per_text = lambda x: np.diff(np.r_[0, np.cumsum(x)][np.r_[0, np.cumsum(counts)]])
-        return flat, per_text(sizes), per_text(~self.same[at]) == 0, (per_text(~self.back[at]) == 0) & clean
+        self.prefix = model.dummy_prefix
+        self.cuts = _words_apart(model) and self.exact and model.escape and model.dummy_prefix
+
+    def parts(self, text: str) -> list[str]:
+        if len(text) <= self.LONG or not self.cuts:
+            return [text]
+        out, at = [], 0
+        for m in re.finditer(r"(?<=[^ ▁]) (?=[^ ▁])", text):
+            if m.start() - at >= self.LONG:
+                out.append(text[at : m.start()])
+                at = m.end()
+        return [*out, text[at:]]
+
+    def normalised(self, text: str) -> str:
+        """The text that right ids decode to."""
+        if self.exact:
+            return text
+        own = self.tokenizer.normalizer.normalize_str(text).replace(SPACE, " ")
+        return own.removeprefix(" ") if self.prefix else own
+
+    def checked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool | None], list[bool]]:
+        """(ids of all texts, ids per text, equal to the reference's, decoded to the normalised text)."""
+        cut = [self.parts(t) for t in texts]
+        flat = [p for parts in cut for p in parts]
+        own = [x.ids for x in self.tokenizer.encode_batch_fast(flat, add_special_tokens=False)]
+        if self.reference is None:
+            same = [None] * len(flat)
+        else:
+            same = [a == b for a, b in zip(own, self.reference.encode(flat, num_threads=self.threads), strict=True)]
+        back = [d == self.normalised(p) for d, p in zip(self.decode(own), flat, strict=True)]
+        ends = np.cumsum([0, *map(len, cut)])
+        every = lambda x: [None if None in x[a:b] else all(x[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        sizes = np.add.reduceat(np.array([len(x) for x in own], dtype=np.int64), ends[:-1]) if texts else np.empty(0, np.int64)
+        return np.fromiter((i for x in own for i in x), np.int32), sizes, every(same), every(back)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         flat, sizes, _, _ = self.checked(texts)
@@ -251,7 +237,7 @@ def _codec(data: bytes) -> Codec:
     return Codec(data)
 
 
-_CHUNK_CHARS, _CHUNK_TEXTS = 1_500_000, 1000
+_CHUNK_CHARS, _CHUNK_TEXTS = 500_000, 1000
 FIELDS = "n_tokens bigint, token_ids array<int>, parity boolean, round_trip boolean"
 
 
@@ -268,7 +254,7 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the key, n_tokens, token_ids, parity with the reference library, and round_trip (the ids decode to the text as normalised).
+    """Per row: the key, n_tokens, token_ids (the rebuilt tokenizer's), parity with the reference library (null without it), and round_trip (the ids decode to the text as normalised).
 
     A map without a shuffle; the model file is broadcast. Null and empty texts
     have no tokens and are at parity. Null keys stay, repeated rows stay
@@ -285,12 +271,11 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, key:
             for chunk in _chunks([t.as_py() or "" for t in batch.column("text")]):
                 flat, sizes, parity, back = codec.checked(chunk)
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(chunk)), pa.array(sizes), ids, pa.array(parity), pa.array(back)], names=[key, "n_tokens", "token_ids", "parity", "round_trip"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(chunk)), pa.array(sizes), ids, pa.array(parity, pa.bool_()), pa.array(back, pa.bool_())], names=[key, "n_tokens", "token_ids", "parity", "round_trip"])
                 at += len(chunk)
 
     kind = docs.schema[key].dataType.simpleString()
-    forgetting = releasing(run, lambda: _codec(held.value).forget())  # a table of words serves one partition
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(forgetting, f"`{key}` {kind}, {FIELDS}")
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(releasing(run), f"`{key}` {kind}, {FIELDS}")
 
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, model_path: str, key: str = "doc_id", ids: str = "token_ids") -> DataFrame:

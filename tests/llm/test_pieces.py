@@ -1,6 +1,7 @@
 import io
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -81,3 +82,69 @@ def test_rows(spark, data):
 def test_a_broken_file_is_an_error(data):
     with pytest.raises((ValueError, IndexError)):
         parse_model(io.BytesIO(data).read(1001))
+
+
+class Nonsense:
+    def encode(self, texts, **_):
+        return [[7]] * len(texts)
+
+
+def test_ids_are_the_rebuilt_tokenizers(data):
+    """Whatever the reference library answers, or if there is none, the ids stay; only parity changes."""
+    texts = hard_texts()
+    codec = Codec(data)
+    expected = codec.reference.encode(texts)
+    flat, sizes, parity, back = codec.checked(texts)
+    assert all(parity) and flat.tolist() == [i for e in expected for i in e]
+    for stub, wanted in ((Nonsense(), False), (None, None)):
+        codec.reference = stub
+        other = codec.checked(texts)
+        assert (other[0].tolist(), other[1].tolist(), other[3]) == (flat.tolist(), sizes.tolist(), back) and set(other[2]) == {wanted}
+
+
+def test_a_broken_rebuild_shows(data):
+    codec = Codec(data)
+    codec.tokenizer.normalizer = None
+    _, _, parity, back = codec.checked(["The thing", "two words"])
+    assert parity == [False, False] and codec.encode(["The thing"]) != codec.reference.encode(["The thing"])
+
+
+def test_long_texts_in_parts(data):
+    codec = Codec(data)
+    texts = ["the  thing\n▁ of ".join(["some words é 日"] * 400), "x" * 3000, "", "a b " * 800]
+    whole = codec.checked(texts)
+    codec.LONG = 100
+    assert len(codec.parts(texts[0])) > 10 and " ".join(codec.parts(texts[0])) == texts[0] and codec.parts(texts[1]) == [texts[1]]
+    parts = codec.checked(texts)
+    assert (parts[0].tolist(), parts[1].tolist(), parts[2], parts[3]) == (whole[0].tolist(), whole[1].tolist(), whole[2], whole[3])
+    assert codec.encode(texts) == codec.reference.encode(texts)
+
+
+def unigram_file(model):
+    """The pieces of a model of real size in a unigram model, scored by rank as words of a text are."""
+    import math
+    import struct
+
+    out = b""
+    for i, (text, _, kind) in enumerate(model.pieces):
+        score = 0.0 if kind != 1 else -math.log(i + 3) - 0.37 * (i % 7) - 2.0
+        body = b"\x0a" + varint(len(text.encode())) + text.encode() + b"\x15" + struct.pack("<f", score) + b"\x18" + varint(kind)
+        out += b"\x0a" + varint(len(body)) + body
+    trainer, normalizer = b"\x18\x01" + b"\x98\x02\x01", b"\x18\x01" + b"\x20\x00" + b"\x28\x01"
+    return out + b"\x12" + varint(len(trainer)) + trainer + b"\x1a" + varint(len(normalizer)) + normalizer
+
+
+def test_a_unigram_model_of_real_size(spark, sf_dir, data):
+    made = unigram_file(parse_model(data))
+    codec = Codec(made)
+    assert parse_model(made).kind == UNIGRAM and len(parse_model(made).pieces) == 32_000
+    texts = [*hard_texts(), *(r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").orderBy("doc_id").limit(100).collect())]
+    expected = codec.reference.encode(texts)
+    flat, sizes, parity, back = codec.checked(texts)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    scores = [s for _, s, _ in parse_model(made).pieces]
+    total = lambda ids: sum(scores[i] for i in ids)
+    # the library adds scores in single precision: in a long text two paths that differ by less are a tie to it
+    differ = [(o, e) for o, e, p in zip(own, expected, parity, strict=True) if not p]
+    assert len(differ) <= 10 and all(0 <= total(o) - total(e) + 1e-6 < 1e-2 for o, e in differ)
+    assert all(back[i] for i, t in enumerate(texts) if "▁" not in t) and len(flat) == sum(map(len, expected))
