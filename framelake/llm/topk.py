@@ -4,16 +4,16 @@ A vector's dimensions are cut into ``lists`` slices; the score of a row is the
 sum of its slice scores. For one block of queries at a time (a bounded
 broadcast), over all rows where they lie:
 
-1. Each task gathers, for every query and slice, its local list of the k best
-   slice scores, and reports the k best exact totals among those rows and the
-   least slice scores.
-2. The k-th best reported total, tau, is a safe cutoff: k rows reach it. A row
-   with total >= tau has in some slice a score of at least
-   ``min_j + (tau - sum(min)) / lists``, the uniform threshold, which is
-   broadcast; each task collects the rows that reach it in some slice.
-3. The remaining slice scores of the collected rows are resolved where the rows
-   lie. Rows under tau go, and so do rows that k rows of the same task beat,
-   so a vector with many copies sends k of them from a task.
+1. Each task gathers, for every query and slice, its local list of the best
+   slice scores (4k), and reports the k best exact totals among those rows and the
+   greatest score of each slice.
+2. The k-th best reported total, tau, is a safe cutoff: k rows reach it. It is
+   broadcast with the slices' greatest scores. A task computes the first slice
+   only and collects the pairs of row and query whose score is at least the
+   threshold of that slice, tau less what the other slices can add at most.
+3. The remaining scores of the collected pairs are resolved where the rows lie,
+   slice by slice, and pairs that can't reach tau any more go. So do rows that k
+   rows of the same task beat: a vector with many copies sends k of them.
 
 All arithmetic is on integers: in float64 while every sum stays below 2**53,
 else with Python's integers.
@@ -32,8 +32,12 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 RESULT = "query_id bigint, vec_id bigint, score bigint"
-REPORT = "query_id bigint, salt int, best array<bigint>, least array<bigint>"
+REPORT = "query_id bigint, salt int, best array<bigint>, most array<bigint>"
 _CHUNK_ROWS = 1024
+#: A product of whole matrices is so many times as fast for a pair as a sum for that pair alone.
+_DENSE = 40
+#: A local list has so many times k rows: the longer, the higher the cutoff.
+_DEPTH = 4
 _LONG = 2**63 - 1
 
 
@@ -79,40 +83,49 @@ class _Block:
         self.slices = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.low = -np.inf if exact else -(10**60)
 
-    def chunks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-        """ids, the slice scores (rows x queries) and the mask of rows that are a query's own."""
+    def chunks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """ids, the rows' matrix and the mask of rows that are a query's own."""
         for batch in batches:
             ids, vectors = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v")
             for a in range(0, len(ids), _CHUNK_ROWS):
                 own_ids = ids[a : a + _CHUNK_ROWS]
-                v = _matrix(vectors.slice(a, _CHUNK_ROWS), self.width, self.exact)
-                scores = [v[:, s].dot(self.q[:, s].T) for s in self.slices]
-                yield own_ids, scores, own_ids[:, None] == self.ids[None, :]
+                yield own_ids, _matrix(vectors.slice(a, _CHUNK_ROWS), self.width, self.exact), own_ids[:, None] == self.ids[None, :]
+
+    def scores(self, v: np.ndarray, j: int) -> np.ndarray:
+        """The scores of slice j: rows x queries."""
+        return v[:, self.slices[j]].dot(self.q[:, self.slices[j]].T)
+
+    def pair_scores(self, v: np.ndarray, j: int, r: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The scores of slice j of the pairs (r, q), r ascending."""
+        rows, at = np.unique(r, return_inverse=True)
+        if len(r) * _DENSE >= len(rows) * len(self.ids):
+            return self.scores(v[rows], j)[at, q]
+        return (v[r, self.slices[j]] * self.q[q, self.slices[j]]).sum(axis=1)
 
     def local_lists(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phase 1, a task's part."""
         n, k, m = len(self.ids), self.k, len(self.slices)
+        long = _DEPTH * k
         dtype = np.float64 if self.exact else object
         top = [np.full((0, n), self.low, dtype=dtype) for _ in range(m)]
         total = [np.full((0, n), self.low, dtype=dtype) for _ in range(m)]
         row = [np.zeros((0, n), dtype=np.int64) for _ in range(m)]
-        least, seen = None, 0
-        for ids, scores, own in self.chunks(batches):
+        most, seen = [np.full(n, self.low, dtype=dtype) for _ in range(m)], 0
+        for ids, v, own in self.chunks(batches):
+            scores = [self.scores(v, j) for j in range(m)]
             sums = sum(scores[1:], scores[0]).copy()
             sums[own] = self.low
-            low = [s.min(axis=0) for s in scores]
-            least = low if least is None else [np.minimum(a, b) for a, b in zip(least, low, strict=True)]
             rows = np.broadcast_to(np.arange(seen, seen + len(ids))[:, None], sums.shape)
             seen += len(ids)
             for j, s in enumerate(scores):
-                s = s.copy()
                 s[own] = self.low
+                most[j] = np.maximum(most[j], s.max(axis=0))
                 all_top, all_total, all_row = np.vstack([top[j], s]), np.vstack([total[j], sums]), np.vstack([row[j], rows])
-                if len(all_top) > k:
-                    keep = np.argpartition(all_top, len(all_top) - k, axis=0)[-k:] if self.exact else np.argsort(all_top, axis=0)[-k:]
+                if len(all_top) > long:
+                    keep = np.argpartition(all_top, len(all_top) - long, axis=0)[-long:] if self.exact else np.argsort(all_top, axis=0)[-long:]
                     all_top, all_total, all_row = (np.take_along_axis(x, keep, axis=0) for x in (all_top, all_total, all_row))
                 top[j], total[j], row[j] = all_top, all_total, all_row
-        if least is None:
+        if not seen:
             return
         rows, totals = np.vstack(row), np.vstack(total)
         order = np.argsort(rows, axis=0, kind="stable")
@@ -122,23 +135,22 @@ class _Block:
         best = [[_clipped(x) for x in totals[:, i] if x != self.low] for i in range(n)]
         salt = TaskContext.get().partitionId() % 64
         yield pa.RecordBatch.from_arrays(
-            [pa.array(self.ids), pa.array([salt] * n, pa.int32()), pa.array(best, pa.list_(pa.int64())), pa.array([[_clipped(x[i]) for x in least] for i in range(n)], pa.list_(pa.int64()))],
-            names=["query_id", "salt", "best", "least"],
+            [pa.array(self.ids), pa.array([salt] * n, pa.int32()), pa.array(best, pa.list_(pa.int64())), pa.array([[None if x[i] == self.low else _clipped(x[i]) for x in most] for i in range(n)], pa.list_(pa.int64()))],
+            names=["query_id", "salt", "best", "most"],
         )
 
-    def collected(self, cutoff: dict[int, tuple[int | None, list[int]]]):
-        """Phases 2 and 3, a task's part. cutoff: tau and the least slice scores of each query."""
+    def collected(self, cutoff: dict[int, tuple[int | None, list[int | None]]]):
+        """Phases 2 and 3, a task's part. cutoff: tau and the greatest slice scores of each query."""
         m = len(self.slices)
-        tau, bounds = [], [[] for _ in range(m)]
-        for q in self.ids.tolist():
-            t, least = cutoff.get(q, (None, None))
-            if t is not None and (t == _LONG or min(least) < -_LONG):  # clipped, so no safe cutoff
-                t = None
-            tau.append(self.low if t is None else t)
-            for j in range(m):
-                bounds[j].append(self.low if t is None else -((sum(least) - t) // m) + least[j])  # the quotient is rounded up
         dtype = np.float64 if self.exact else object
-        tau, bounds = np.array(tau, dtype=dtype), [np.array(b, dtype=dtype) for b in bounds]
+        tau, rest = np.full(len(self.ids), self.low, dtype=dtype), np.zeros((m, len(self.ids)), dtype=dtype)
+        for i, q in enumerate(self.ids.tolist()):
+            t, most = cutoff.get(q, (None, None))
+            if t is None or None in most or max(t, *most) >= _LONG or min(t, *most) < -_LONG:  # too few rows, or clipped: no safe cutoff
+                continue
+            tau[i] = t
+            for j in range(m):
+                rest[j, i] = sum(most[j + 1 :])  # what the slices after this one add at most
 
         def best(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
             q, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -150,15 +162,17 @@ class _Block:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, held = [], 0
-            for ids, scores, own in self.chunks(batches):
-                enough = ~own
-                enough &= np.logical_or.reduce([s >= b for s, b in zip(scores, bounds, strict=True)])
-                r, q = np.nonzero(enough)
-                score = sum((s[r, q] for s in scores[1:]), scores[0][r, q])
-                reach = (score >= tau[q]).astype(bool)
-                if reach.any():
-                    found.append((q[reach], ids[r[reach]], score[reach]))
-                    held += int(reach.sum())
+            for ids, v, own in self.chunks(batches):
+                score = self.scores(v, 0)
+                r, q = np.nonzero((score >= tau - rest[0]) & ~own)
+                score = score[r, q]
+                for j in range(1, m):
+                    score = score + self.pair_scores(v, j, r, q)
+                    open_ = (score >= tau[q] - rest[j, q]).astype(bool)
+                    r, q, score = r[open_], q[open_], score[open_]
+                if len(r):
+                    found.append((q, ids[r], score))
+                    held += len(r)
                 if held > 1_000_000:
                     found = [best(found)]
                     held = min(held, len(found[0][0])) // 2
@@ -170,15 +184,15 @@ class _Block:
         return run
 
 
-def _cutoffs(reports: DataFrame, k: int, lists: int) -> dict[int, tuple[int | None, list[int]]]:
-    """The k-th best reported total and least slice scores of each query; merged in two levels, so no list is long."""
+def _cutoffs(reports: DataFrame, k: int, lists: int) -> dict[int, tuple[int | None, list[int | None]]]:
+    """The k-th best reported total and greatest slice scores of each query; merged in two levels, so no list is long."""
     merged = reports
     for keys in (["query_id", "salt"], ["query_id"]):
         merged = merged.groupBy(*keys).agg(
             F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best"),
-            F.array(*[F.min(F.col("least")[j]) for j in range(lists)]).alias("least"),
+            F.array(*[F.max(F.col("most")[j]) for j in range(lists)]).alias("most"),
         )
-    return {r.query_id: (r.best[k - 1] if len(r.best) >= k else None, r.least) for r in merged.collect()}
+    return {r.query_id: (r.best[k - 1] if len(r.best) >= k else None, r.most) for r in merged.collect()}
 
 
 def top_k_inner(

@@ -63,3 +63,29 @@ def test_sums_beyond_doubles_stay_exact(spark):
 def test_scores_beyond_64_bits_are_clipped(spark):
     rows = [(0, [1e30, 0.0], 0, ""), (1, [1e30, 0.0], 0, ""), (2, [-1e30, 5.0], 0, ""), (3, [0.0, 5.0], 0, "")]
     assert run(spark, rows, every=100, k=3) == {(0, 1, 1, 2**63 - 1), (0, 2, 3, 0), (0, 3, 2, -(2**63))}
+
+
+def test_only_what_the_cutoff_leaves_is_resolved(spark, monkeypatch):
+    """The second slice is computed for the pairs that the first one's threshold lets through, and the result is whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    from framelake.llm.topk import _Block
+
+    rng = np.random.default_rng(4)
+    vectors = np.floor(rng.normal(0, 200, (3000, 32))).astype(int)
+    block = _Block(list(range(0, 3000, 100)), [vectors[i].tolist() for i in range(0, 3000, 100)], 32, True, 10, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(vectors.tolist(), pa.list_(pa.int64()))], names=["vec_id", "v"])
+    monkeypatch.setattr("framelake.llm.topk.TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    (report,) = list(block.local_lists([batch]))
+    cutoff = {q: (best[9], most) for q, best, most in zip(*(report.column(c).to_pylist() for c in ("query_id", "best", "most")), strict=True)}
+    asked = []
+    pair_scores = _Block.pair_scores
+    monkeypatch.setattr(_Block, "pair_scores", lambda self, v, j, r, q: asked.append(len(r)) or pair_scores(self, v, j, r, q))
+    (out,) = list(block.collected(cutoff)([batch]))
+    assert sum(asked) < 0.55 * 3000 * 30
+    exact = vectors @ vectors.T
+    for q in range(0, 3000, 100):
+        own = sorted(((-int(exact[q, i]), i) for i in range(3000) if i != q))[:10]
+        got = sorted((-s, v) for a, v, s in zip(*(out.column(c).to_pylist() for c in ("query_id", "vec_id", "score")), strict=True) if a == q)
+        assert got == own
