@@ -195,7 +195,7 @@ def resolve_revisits(headers: DataFrame, work: Workspace, min_bytes: int) -> Dat
     reach the join, whose skewed partitions Spark can split as both sides are
     plain exchanges.
     """
-    rank = F.struct(F.col("row_key").cast("bigint").alias("n"), F.col("record_id"), F.col("row_key"))
+    rank = F.struct(F.expr("try_cast(row_key as bigint)").alias("n"), F.col("record_id"), F.col("row_key"))
     large = headers.where((F.col("payload_bytes") >= min_bytes) & F.col("payload_digest").isNotNull())
     originals = work.stage(
         large.groupBy("payload_digest").agg(F.max(rank).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", "first"), "originals"
@@ -228,13 +228,16 @@ def warc_revisits(spark: SparkSession, pages: DataFrame, key: str = "page_id", u
     null. Payloads under ``min_bytes``, also empty ones, are always responses.
     Repeated rows are separate records: one is the response, the others revisit
     it. An empty table gives no rows. Other columns of ``pages`` are ignored.
+    Keys come back as whole numbers, or as the text they are if their column is
+    of another type; of texts, those that aren't numbers rank lowest.
     """
+    kind = "bigint" if pages.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
     work = Workspace(spark, "warc")
     write_archives(as_responses(pages, key, uri, payload), work.at("captured"), F.lit(False))
     deduplicate_archives(spark, work.at("captured"), work.at("deduplicated"), min_bytes, work)
     work.drop("captured")
     found = read_archives(spark, work.at("deduplicated"), with_payload=False)
     return found.select(
-        F.col("row_key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        F.col("refers_to_key").cast("bigint").alias("refers_to"), "target_uri",
+        F.col("row_key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to_key").cast(kind).alias("refers_to"), "target_uri",
     )

@@ -80,3 +80,14 @@ def test_workspace_drops_tables(spark):
     work.drop("a")
     with pytest.raises(Exception):
         spark.read.parquet(work.at("a"))
+
+
+def test_keys_that_are_no_numbers_and_long_payloads(spark):
+    big, other = "x" * 20_000_000, "y" * 1200
+    rows = [("a", "u", other), ("12", "u", other), ("7", "u", other), ("b-1", "u", "z" * 1500), (None, "u", "z" * 1500), ("c", "u", big), ("d", None, big)]
+    got = {r.page_id: r for r in warc_revisits(spark, spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert {k: r.refers_to for k, r in got.items() if k in ("a", "12", "7")} == {"a": "12", "12": None, "7": "12"}
+    assert sorted(r.record_type for k, r in got.items() if k in ("b-1", None)) == ["response", "revisit"]
+    assert sorted(r.record_type for k, r in got.items() if k in ("c", "d")) == ["response", "revisit"] and {got["c"].payload_bytes, got["d"].payload_bytes} == {20_000_000}
+    numbered = warc_revisits(spark, spark.createDataFrame([(3, "u", other), (9, "u", other)], "page_id int, url string, html string"))
+    assert numbered.schema["page_id"].dataType.simpleString() == "bigint" and {r.page_id: r.refers_to for r in numbered.collect()} == {3: 9, 9: None}
