@@ -113,14 +113,16 @@ def format_chats(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role
     """One row per conversation: the key and :data:`FIELDS`.
 
     Turns are ordered by ``turn`` (nulls first), ties by role and text, so
-    repeated rows are repeated turns. Rows with a null key form one
-    conversation with a null key. Null and empty texts are empty turns and stay
-    turns. A conversation is one rendered text, so it must fit into a task's
-    memory; texts are gathered once, by key. Other columns are ignored and an
-    empty table gives no rows.
+    repeated rows are repeated turns. A row with a null key belongs to no other:
+    it is a conversation of its own, with a null key, and isn't dealt, however
+    many there are. Null and empty texts are empty turns and stay turns. A
+    conversation is one rendered text, so it must fit into a task's memory;
+    texts are gathered once, by key. Other columns are ignored and an empty
+    table gives no rows.
     """
     fields = F.struct(F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    gathered = rows.groupBy(F.col(key).alias("key")).agg(F.sort_array(F.collect_list(fields)).alias("turns"))
+    gathered = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.sort_array(F.collect_list(fields)).alias("turns"))
+    gathered = gathered.unionByName(rows.where(F.col(key).isNull()).select(F.col(key).alias("key"), F.array(fields).alias("turns")))
     slim = gathered.select("key", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 import itertools
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -69,4 +70,41 @@ def test_rows(spark):
     assert got[1].cost == 0 and got[1].rendered.startswith("<|im_start|>user\na<|im_end|>") and got[1].roles == "user>assistant"
     assert (got[2].n_merged, got[2].n_inserted, got[2].cost) == (0, 0, 3) and got[2].roles == "user>assistant"
     assert got[None].n_turns == 1 and got[3].n_inserted == 1 and got[4].cost == 0 and got[4].n_rendered == 3000
+    lone = [(None, i, "user" if i % 2 else "assistant", f"t{i}", "x") for i in range(50)] + [(None, 1, "user", "t1", "x")]
+    apart = format_chats(spark.createDataFrame(lone, "conv_id bigint, turn int, role string, text string, cost string")).collect()
+    assert len(apart) == 51 and {r.n_turns for r in apart} == {1} and sum("\nt1<" in r.rendered for r in apart) == 2
+    long = [(1, 0, "user", "word " * 200_000, "x"), (1, 1, "assistant", None, "x")]
+    (r,) = format_chats(spark.createDataFrame(long, "conv_id bigint, turn int, role string, text string, cost string")).collect()
+    assert len(r.rendered) > 1_000_000 and r.cost == 0
     assert format_chats(spark.createDataFrame([], "conv_id bigint, turn int, role string, text string")).count() == 0
+
+
+def brute_rendered(roles, texts, costs):
+    """All ways: groups of neighbours, their roles, empty turns between; of the cheapest, those that repair may give."""
+    n, out = len(roles), {}
+    for cuts in itertools.product((False, True), repeat=max(n - 1, 0)):
+        groups, own = [], []
+        for i in range(n):
+            own.append(i)
+            if i == n - 1 or cuts[i]:
+                groups.append(own)
+                own = []
+        for states in itertools.product((1, 2, 3), repeat=len(groups)):
+            price = costs.merge * sum(len(g) - 1 for g in groups)
+            price += sum(0 if role_state(roles[i]) == s else costs.unknown if role_state(roles[i]) is None else costs.relabel for g, s in zip(groups, states, strict=True) for i in g)
+            for gaps in itertools.product((None, 1, 2, 3), repeat=len(groups) + 1):
+                turns = []
+                for k, gap in enumerate(gaps):
+                    turns += [(gap, [])] * (gap is not None)
+                    turns += [(states[k], groups[k])] if k < len(groups) else []
+                if legal([s for s, _ in turns]):
+                    out.setdefault(price + costs.insert * sum(g is not None for g in gaps), set()).add(render(turns, texts))
+    return out
+
+
+@pytest.mark.parametrize("roles", [["user"], ["assistant", "user"], ["user", "user", "assistant"], ["system", "assistant", None], [None, "tool", "user"]])
+def test_the_rendered_text_is_one_of_the_cheapest(roles):
+    texts = [f"t{i}" for i in range(len(roles))]
+    cost, turns = repair(roles, Costs())
+    found = brute_rendered(roles, texts, Costs())
+    assert render(turns, texts) in found[cost] and cost == min(found)
