@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import releasing
+from .common import Workspace, releasing
 
 PASSAGE = 512
 _MARKS = b".,!*$&%#|:;\"'"
@@ -163,9 +163,10 @@ def train(bags: list[np.ndarray], labels: np.ndarray, steps: int = 1200, hidden:
     The decay was chosen within the two thirds of the test tables that may be learned from (one third against the other).
     """
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags)
     good = [b for b, y in zip(bags, labels, strict=True) if y == 1] or bags
-    mean, scale = np.concatenate(good).mean(axis=0, dtype=np.float64), every.std(axis=0, dtype=np.float64) + 1e-3
+    # moments by sums over bags: no copy of all of them is made
+    moment = lambda own, power: sum((b.astype(np.float64) ** power).sum(axis=0) for b in own) / sum(map(len, own))
+    mean, scale = moment(good, 1), np.sqrt(np.maximum(moment(bags, 2) - moment(bags, 1) ** 2, 0)) + 1e-3
     draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float64)
     model = Attention(mean, scale, [draw(FEATURES, hidden), np.zeros(hidden), draw(hidden, gate), draw(hidden, gate), draw(gate), draw(hidden), np.zeros(1)])
     m1, m2 = [np.zeros_like(w) for w in model.weights], [np.zeros_like(w) for w in model.weights]
@@ -176,7 +177,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, steps: int = 1200, hidden:
         chosen, left = left[:batch], left[batch:]
         pace = rate * (0.5 + 0.5 * np.cos(np.pi * step / steps))
         own = [bags[j] for j in chosen]
-        grads = model.gradients(np.concatenate(own), np.array([len(b) for b in own]), labels[chosen])
+        grads = model.gradients(np.concatenate(own).astype(np.float64), np.array([len(b) for b in own]), labels[chosen])
         for k, g in enumerate(grads):
             g = g + decay * model.weights[k] * (model.weights[k].ndim == 2)
             m1[k] = 0.9 * m1[k] + 0.1 * g
@@ -193,39 +194,55 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def _bags(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's passages, all of them."""
     for batch in batches:
-        out = []
-        for text in batch.column("text"):
-            x, _ = passages([text.as_py()])
-            if len(x) > most:
-                x = x[np.linspace(0, len(x) - 1, most).astype(int)]
-            out.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary())], names=["doc_id", "quality", "bag"])
+        for i in range(batch.num_rows):
+            bag = passages([batch.column("text")[i].as_py()])[0].astype(np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), batch.column("quality").slice(i, 1), pa.array([bag.tobytes()], pa.binary())], names=["doc_id", "quality", "bag"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, bag_passages: int = 24) -> Attention | float:
-    """Train on the labelled documents outside the held-out third.
-
-    The bound: of each label, the ``per_class`` documents whose id hashes
-    lowest; of a document in training, at most ``bag_passages`` passages, evenly
-    spread. Labels other than 0 and 1 are ignored, and so is a document with
-    both. With one label only, or none, the result is a constant score.
-    """
+def sampled(docs: DataFrame, labels: DataFrame, per_class: int, passages_per_class: int) -> tuple[DataFrame | None, list]:
+    """(doc_id, quality, text) of the documents to train on, each once, and their (doc_id, quality) in order."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     known = known.where("quality = other").join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "quality")
     order = [F.xxhash64("doc_id", F.lit(7)), "doc_id"]
-    sample = [r for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(*order).limit(per_class).collect()]
-    if len({r.quality for r in sample}) < 2:
-        return float(sample[0].quality) if sample else 0.5
+    first = [r for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(*order).limit(per_class).collect()]
+    if not first:
+        return None, []
     spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame([(r.doc_id, r.quality) for r in sample], "doc_id bigint, quality int"))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(lambda it: _bags(it, bag_passages), "doc_id bigint, quality int, bag binary")
-    bags = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.bag))):
-        bags.setdefault(r.doc_id, (np.frombuffer(r.bag, dtype=np.float32).reshape(-1, FEATURES), r.quality))
+    place = spark.createDataFrame([(r.doc_id, r.quality, i) for i, r in enumerate(first)], "doc_id bigint, quality int, place int")
+    # one row for an id, before anything is gathered: of repeated rows the text that sorts first
+    once = docs.join(F.broadcast(place), "doc_id").groupBy("doc_id", "quality", "place").agg(F.min("text").alias("text"))  # at most 2 * per_class ids
+    once = Workspace(spark, "quality").stage(once, "sample")
+    sizes = once.select("doc_id", "quality", "place", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("place").collect()
+    chosen, used = [], {0: 0, 1: 0}
+    for r in sizes:
+        n = max(1, (r["size"] + PASSAGE // 2) // PASSAGE)
+        if used[r.quality] == 0 or used[r.quality] + n <= passages_per_class:
+            chosen.append((r.doc_id, r.quality))
+        used[r.quality] += n
+    ids = spark.createDataFrame(chosen, "doc_id bigint, quality int").select("doc_id")
+    return once.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "quality", "text"), chosen
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, passages_per_class: int = 60_000) -> Attention | float:
+    """Train on the labelled documents outside the held-out third.
+
+    The bound is on rows: of each label, the ``per_class`` documents whose id
+    hashes lowest, and of these only as many as have ``passages_per_class``
+    passages together (at least one). A document in training has all its
+    passages there. Repeated rows of an id are one document. Labels other than 0
+    and 1 are ignored, and so is a document with both. With one label only, or
+    none, the result is a constant score.
+    """
+    sample, chosen = sampled(docs, labels, per_class, passages_per_class)
+    if len({q for _, q in chosen}) < 2:
+        return float(chosen[0][1]) if chosen else 0.5
+    rows = sample.mapInArrow(_bags, "doc_id bigint, quality int, bag binary").collect()
+    found = {r.doc_id: np.frombuffer(r.bag, dtype=np.float16).reshape(-1, FEATURES) for r in rows}
     with _one_blas_thread():
-        return train([b for b, _ in bags.values()], np.array([q for _, q in bags.values()], dtype=np.float64))
+        return train([found[i] for i, _ in sorted(chosen)], np.array([q for _, q in sorted(chosen)], dtype=np.float64))
 
 
 def scored(spark: SparkSession, rows: DataFrame, model: Attention | float, text: str = "text", out: str = "score") -> DataFrame:

@@ -95,3 +95,44 @@ def test_scored_keeps_columns(spark):
     docs, _ = corpus(10)
     frame = spark.createDataFrame(docs, DOCS).drop("score")
     assert scored(spark, frame, 0.25).columns == ["doc_id", "text", "quality", "score"] and held_out() is not None
+
+
+def test_a_repeated_document_is_gathered_once_and_whole(spark):
+    from framelake.llm.quality import PASSAGE, _bags, sampled
+
+    docs, labels = corpus(12)
+    long = "some words " * 5000
+    rows = [d[:2] for d in docs if d[0] != 1] + [(1, long)] * 1000 + [(1, "zz later")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    sample, chosen = sampled(frame, spark.createDataFrame(labels, LABELS), 50, 10_000)
+    got = sample.mapInArrow(_bags, "doc_id bigint, quality int, bag binary").collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in chosen) and len({r.doc_id for r in got}) == len(got)
+    if zlib.crc32(b"1") % 3 != 1:
+        (own,) = [r for r in got if r.doc_id == 1]
+        assert len(own.bag) == 2 * FEATURES * round(len(long) / PASSAGE)
+    few, chosen = sampled(frame, spark.createDataFrame(labels, LABELS), 50, 1)
+    assert sorted(q for _, q in chosen) == [0, 1] and few.count() == 2
+
+
+def slow_score(model, text):
+    """One document's score with plain loops over passages and units."""
+    x, counts = passages([text])
+    we, be, v, u, w, c, c0 = model.weights
+    encoded, weights = [], []
+    for row in x:
+        z = np.clip((row - model.mean) / model.scale, -4, 4) * row[-1]
+        h = np.array([np.tanh(sum(z[i] * we[i, j] for i in range(len(z))) + be[j]) for j in range(we.shape[1])])
+        gate = [np.tanh(sum(h[i] * v[i, j] for i in range(len(h)))) / (1 + np.exp(-sum(h[i] * u[i, j] for i in range(len(h))))) for j in range(v.shape[1])]
+        encoded.append(h)
+        weights.append(np.exp(sum(g * k for g, k in zip(gate, w, strict=True))))
+    pooled = sum(a * h for a, h in zip(weights, encoded, strict=True)) / sum(weights)
+    return 1 / (1 + np.exp(-(float(pooled @ c) + c0[0])))
+
+
+def test_scores_are_those_of_a_slow_scorer(spark):
+    docs, labels = corpus(40)
+    model = train([passages([d[1]])[0] for d in docs], np.array([x[1] for x in labels], dtype=float), steps=30, hidden=6, gate=3)
+    texts = [docs[0][1], docs[1][1], "", None, "x " * 2000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in scored(spark, frame, model).collect()}
+    assert all(got[i] == pytest.approx(slow_score(model, t), abs=1e-6) for i, t in enumerate(texts))
