@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LEAST, NORMAL, MOST = 16, 40, 160
@@ -102,16 +102,26 @@ FIELDS = "n_chars bigint, edited_sha256 string, fingerprint string, edited_finge
 
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Rows come in order; a row is done when the next one of its part, or the part's sentinel, is there."""
+    """Rows come in order; a row is done when the next one of its part, or the part's sentinel, is there. ``times``: rows that a result stands for."""
     part, row, out, held = None, None, [], 0
 
     def flush() -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=[key, *(f.split()[0] for f in FIELDS.split(", "))])
+        return pa.RecordBatch.from_arrays(columns, names=[key, *(f.split()[0] for f in FIELDS.split(", ")), "times"])
+
+    def finish(text: str, chunks: np.ndarray, times: int) -> None:
+        """The row's results before a text."""
+        before, before_text, before_chunks, _ = row
+        new = edited(before_text, text)
+        new_chunks = chunk_set(new)
+        out.append((
+            before, len(before_text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), as_text(before_chunks), as_text(new_chunks),
+            likeness(before_chunks, new_chunks), likeness(before_chunks, chunks), times,
+        ))
 
     for batch in batches:
-        for own, sentinel, doc, text in zip(*(batch.column(c) for c in ("part", "sentinel", "doc", "text")), strict=True):
+        for own, sentinel, doc, text, copies in zip(*(batch.column(c) for c in ("part", "sentinel", "doc", "text", "copies")), strict=True):
             own, sentinel, text = own.as_py(), sentinel.as_py(), text.as_py() or ""
             if own != part:
                 part, row = own, None
@@ -119,22 +129,23 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.R
                 continue
             chunks = chunk_set(text)
             if row is not None:
-                before, before_text, before_chunks = row
-                new = edited(before_text, text)
-                new_chunks = chunk_set(new)
-                out.append((
-                    before, len(before_text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), as_text(before_chunks), as_text(new_chunks),
-                    likeness(before_chunks, new_chunks), likeness(before_chunks, chunks),
-                ))
-                held += len(before_text)
+                if row[3] > 1:  # each copy but the last comes before a copy
+                    finish(row[1], row[2], row[3] - 1)
+                finish(text, chunks, 1)
+                held += len(row[1])
                 if held > 4_000_000 or len(out) >= 2000:
                     yield flush()
                     out, held = [], 0
-            row = None if sentinel else (doc.as_py(), text, chunks)
+            row = None if sentinel else (doc.as_py(), text, chunks, copies.as_py())
     if out:
         yield flush()
 
 
+#: An id is dealt over several parts, and its repeated rows are counted, if it has more rows than a range has and than this.
+REPEATED = 1000
+PIECES = 64
+
+
 def fingerprints(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key and :data:`FIELDS`; "next" is the row with the next smaller key (after the last: the first).
 
@@ -142,26 +153,59 @@ def fingerprints(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     each range also gets a copy of the row that follows it. So texts move once
     and no task holds more than a range. Null texts are empty. Null keys come
     last in the order, equal keys are ordered by text (nulls first); one row is
-    its own next. An empty table gives no rows; other columns are left out.
+    its own next. A key of more rows than a range has (or null) is cut into up
+    to 64 ranges of its texts, and of its equal rows one is dealt, with their
+    number. An empty table gives no rows; other columns are left out.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = 4 * n
+    schema = f"`{key}` bigint, {FIELDS}"
+    counts = rows.groupBy("doc").agg(F.count("*").alias("n"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    if not total:
+        return spark.createDataFrame([], schema)
+    # fewer than ``ranges`` keys have so many rows; keys that doubles don't tell apart stay whole
+    hot = [r.doc for r in counts.where(F.col("n") > max(total // ranges, REPEATED)).collect() if r.doc is None or abs(r.doc) < 2**53] if most > max(total // ranges, REPEATED) else []
     ids = rows.select(F.col("doc").cast("double").alias("at"))
-    bounds = sorted(set(ids.approxQuantile("at", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if not docs.isEmpty() else []
+    bounds = set(ids.approxQuantile("at", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))
+    bounds = sorted(bounds | {x for d in hot if d is not None for x in (float(d), float(np.nextafter(float(d), np.inf)))})
     cut = Bucketizer(splits=[-float("inf"), *(bounds or [0.0]), float("inf")], inputCol="at", outputCol="bucket")
+    rows = rows.withColumn("copies", F.lit(1).cast("bigint"))
+    piece = F.lit(0)
+    if hot:
+        is_hot = F.coalesce(F.col("doc").isin(*[d for d in hot if d is not None]), F.lit(None in hot))
+        packed = rows.where(is_hot).groupBy("doc", "text").agg(F.sum("copies").alias("copies"))
+        rows = rows.where(~is_hot).unionByName(packed)
+        place = Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")
+        cuts = packed.withColumn("i", F.row_number().over(place)).where(F.col("i") < PIECES).groupBy("doc").agg(F.array_sort(F.collect_set(F.substring(F.coalesce("text", F.lit("")), 1, 300))).alias("cuts"))
+        own = spark.createDataFrame(cuts.collect(), "hot_doc bigint, cuts array<string>")  # fewer rows than ranges, of at most 63 beginnings of texts
+        rows = rows.join(F.broadcast(own), is_hot & F.col("doc").eqNullSafe(F.col("hot_doc")), "left").drop("hot_doc")
+        piece = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.coalesce("text", F.lit("")))), F.lit(0))
 
     def dealt(frame: DataFrame) -> DataFrame:
         low = frame.withColumn("at", F.coalesce(F.col("doc").cast("double"), F.lit(-float("inf"))))
-        return cut.transform(low).withColumn("part", (-F.col("bucket")).cast("int")).drop("at", "bucket")
-
-    heads = sorted(dealt(rows.select("doc")).groupBy("part").agg(F.max("doc").alias("head")).collect())  # a row for each range
-    follows = [(h.part, h.head, heads[i - 1].part) for i, h in enumerate(heads)]
-    follows = spark.createDataFrame(follows, "head_part int, head bigint, goes_to int")
-    placed = dealt(rows).join(F.broadcast(follows), (F.col("part") == F.col("head_part")) & F.col("doc").eqNullSafe(F.col("head")), "left")
+        range_ = F.when(F.col("doc").isNull(), len(bounds) + 3).otherwise(len(bounds) + 2 - F.col("bucket").cast("int"))
+        return cut.transform(low).withColumn("part", (range_ * (PIECES + 1) + piece).cast("int")).drop("at", "bucket", "cuts")
+
+    heads = dealt(rows if hot else rows.select("doc")).groupBy("part").agg(F.max("doc").alias("head"))
+    if most > 1:  # of rows with one key the first goes to the range before
+        heads = spark.createDataFrame(heads.collect(), "head_part int, head bigint")
+        begins = dealt(rows).join(F.broadcast(heads), (F.col("part") == F.col("head_part")) & F.col("doc").eqNullSafe(F.col("head")))
+        heads = begins.groupBy("part", "head").agg(F.xxhash64(F.min(F.coalesce("text", F.lit("")))).alias("hash"))
+    heads = sorted(map(tuple, heads.collect()))  # a row for each range
+    follows = [(*h, heads[i - 1][0]) for i, h in enumerate(heads)]
+    follows = spark.createDataFrame(follows, "head_part int, head bigint, " + "head_hash bigint, " * (most > 1) + "goes_to int")
+    is_head = (F.col("part") == F.col("head_part")) & F.col("doc").eqNullSafe(F.col("head"))
+    if most > 1:
+        is_head &= F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("head_hash")
+    placed = dealt(rows).join(F.broadcast(follows), is_head, "left")
     own = F.struct("part", F.lit(False).alias("sentinel"))
     copy = F.struct(F.col("goes_to").alias("part"), F.lit(True).alias("sentinel"))
     both = placed.withColumn("to", F.explode(F.when(F.col("goes_to").isNull(), F.array(own)).otherwise(F.array(own, copy))))
-    both = both.select("to.part", "to.sentinel", "doc", "text").repartitionByRange(n, "part")
+    both = both.select("to.part", "to.sentinel", "doc", "text", "copies").repartitionByRange(n, "part")
     ordered = both.sortWithinPartitions("part", "sentinel", F.desc_nulls_last("doc"), F.asc_nulls_first("text"))
-    return ordered.mapInArrow(lambda it: _fingerprinted(it, key), f"`{key}` bigint, {FIELDS}")
+    found = ordered.mapInArrow(lambda it: _fingerprinted(it, key), f"{schema}, times bigint")
+    if hot:
+        found = found.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).drop("__turn")
+    return found.drop("times")

@@ -73,3 +73,18 @@ def test_likeness_survives_a_shift():
     assert 0.4 < likeness(chunk_set(text), chunk_set(edited(text, other))) < 0.6
     assert likeness(chunk_set(text[1000:2000]), chunk_set(text)) > 0.9  # containment, not resemblance
     assert (from_text(as_text(chunk_set(text))) == chunk_set(text)).all()
+
+
+@pytest.mark.parametrize("n", ["2", "5"])
+def test_keys_of_many_rows_are_split(spark, monkeypatch, n):
+    monkeypatch.setattr(fingerprint, "REPEATED", 20)
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 20), "p", "c") for i in range(60)] + [(30, prose(rng, 15), "p", "c") for _ in range(150)] + [(30, "the same text again " * 3, "p", "c")] * 90
+    rows += [(None, prose(rng, 10), "p", "c") for _ in range(80)] + [(None, None, "p", "c")] * 40 + [(None, "", "p", "c")] * 2
+    assert run(spark, rows, n) == brute(rows)
+
+
+def test_a_table_of_one_row_many_times(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "REPEATED", 20)
+    rows = [(5, "one row only, many times over", "p", "c")] * 300
+    assert run(spark, rows) == brute(rows)
