@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests on one machine) gets a temporary folder.
+    Only a session on one machine that names none (tests) gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-"))
             root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -36,12 +38,16 @@ class Workspace:
     """A folder of its own under the shared root for the tables that one operator call writes.
 
     Written tables cut lineage and survive lost executors. ``drop`` removes a
-    table that no later plan reads.
+    table that no later plan reads; the folder goes with the application, as
+    results that are read late may lie in it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        files, target = self._files(self.path)
+        files.mkdirs(target)
+        files.deleteOnExit(target)
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -59,10 +65,13 @@ class Workspace:
         for name in names:
             self._delete(self.at(name))
 
+    def _files(self, path: str) -> tuple:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), target
+
     def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        files, target = self._files(path)
+        files.delete(target, True)
 
 
 @contextmanager

@@ -59,17 +59,23 @@ OP9 = """
 WITH RECURSIVE n AS (
     SELECT source, CAST(count(*) AS DOUBLE) AS n, pow(CAST(count(*) AS DOUBLE), 0.7) AS target FROM documents GROUP BY source
 ), r AS (
-    SELECT source, least(200.0, target / (SELECT sum(target) FROM n) * (SELECT sum(n) FROM n) / n) AS rate FROM n
+    SELECT source, target / (SELECT sum(target) FROM n) * (SELECT sum(n) FROM n) / n AS rate FROM n
+), m AS (
+    SELECT source, rate, CAST(greatest(1, ceil(rate / 200)) AS BIGINT) AS draws, rate / greatest(1, ceil(rate / 200)) AS mean FROM r
 ), c AS (
-    SELECT source, rate, 0 AS i, exp(-rate) AS term, exp(-rate) AS cum FROM r
+    SELECT source, rate, draws, mean, 0 AS i, exp(-mean) AS term, exp(-mean) AS cum FROM m
     UNION ALL
-    SELECT source, rate, i + 1, term * rate / (i + 1), cum + term * rate / (i + 1) FROM c WHERE i < ceil(rate + 12 * sqrt(rate) + 20)
+    SELECT source, rate, draws, mean, i + 1, term * mean / (i + 1), cum + term * mean / (i + 1) FROM c WHERE i < ceil(mean + 12 * sqrt(mean) + 20)
+), t AS (
+    SELECT source, rate, draws, list(cum ORDER BY i) AS cdf FROM c GROUP BY source, rate, draws
 ), d AS (
-    SELECT *, CAST('0x' || substr(md5(concat_ws('|', '17', coalesce(CAST(doc_id AS VARCHAR), '-'), coalesce(text, '-'))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
-    FROM documents
+    SELECT *, md5(concat_ws('|', '17', coalesce(CAST(doc_id AS VARCHAR), '-'), coalesce(text, '-'))) AS h FROM documents
+), u AS (
+    SELECT d.*, t.rate, t.cdf, list_transform(list_transform(range(t.draws), lambda j: CASE WHEN j = 0 THEN h ELSE md5(concat_ws('|', 'draw', h, CAST(j AS VARCHAR))) END),
+           lambda x: CAST('0x' || substr(x, 1, 13) AS BIGINT) / 4503599627370496.0) AS us
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), k AS (
-    SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.rate, count(*) FILTER (WHERE c.cum <= d.u) AS copies
-    FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL
+    SELECT doc_id, text, lang, source, n_chars, rate, CAST(list_sum(list_transform(us, lambda x: len(list_filter(cdf, lambda q: q <= x)))) AS BIGINT) AS copies FROM u
 )
 SELECT doc_id, text, lang, source, n_chars, rate AS mix_rate, CAST(unnest(range(copies)) AS INTEGER) AS mix_copy,
        md5(concat_ws('|', 'order17', CAST(doc_id AS VARCHAR), CAST(unnest(range(copies)) AS VARCHAR), md5(coalesce(text, '-')))) AS mix_order

@@ -16,7 +16,7 @@ def sets(rows):
     return out
 
 
-def brute(rows):
+def brute(rows, percent=85):
     found = sets(rows)
     ids = [r[0] for r in rows]
     root = {i: i for i in ids}
@@ -29,7 +29,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = found[i], found[j]
-            if a and b and None not in (ids[i], ids[j]) and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and None not in (ids[i], ids[j]) and 100 * len(a & b) >= percent * len(a | b):
                 x, y = sorted((top(ids[i]), top(ids[j])))
                 root[y] = x
     return sorted((i, len(s), top(i) if i is not None else None, i is None or top(i) == i) for i, s in zip(ids, found, strict=True))

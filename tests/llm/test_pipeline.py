@@ -44,7 +44,7 @@ def test_quality_keeps_what_the_model_accepts(spark, sf_dir, stages):
 
 def test_one_document_of_each_group_stays(stages):
     before = rows(stages[1])
-    kept = {i for i, _, _, keep in test_neardup.brute(before) if keep}
+    kept = {i for i, _, _, keep in test_neardup.brute(before, percent=80) if keep}
     assert Counter(rows(stages[2])) == Counter(r for r in before if r[0] in kept)
 
 
@@ -103,3 +103,17 @@ def test_columns_with_the_operators_names_stay(spark, sf_dir, stages):
 @pytest.mark.parametrize("i", range(5))
 def test_empty_tables(spark, sf_dir, stages, i):
     assert cp.STAGES[i][1](spark, stages[0].limit(0), sf_dir).count() == 0
+
+
+def test_hard_rows_go_through_all_stages(spark, sf_dir, stages, tmp_path):
+    """Null and very long texts, repeated rows and missing ids, from end to end."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    long = " ".join(f"word{i}" for i in range(120_000))
+    hard = [(None, None, None, None, None), (900_001, None, "en", None, None), (900_002, "", "en", "s", 0), (900_003, long, "en", "s", len(long)), (900_003, long, "en", "s", len(long)), (None, "no id here, mail a.b@c.org", "en", "s", 26)]
+    hard += [(900_004, "b." * 50_000 + " x@" + "b." * 50_000, "en", "s", 200_003)]
+    docs = stages[0].limit(50).unionByName(spark.createDataFrame(hard, schema))
+    for i, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+    got = docs.collect()
+    assert got and all(r.parity and r.round_trip and r.n_tokens == len(r.token_ids) for r in got)
