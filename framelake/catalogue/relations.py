@@ -37,7 +37,7 @@ def _claims(spark, d):
 
 
 def q_relation_p2p3(spark, d):
-    checked = relations.spatial_crosscheck(relations.confidence_gate(_claims(spark, d)), relations.spatial_edges(objects(spark, d)))
+    checked = relations.crosscheck_objects(relations.confidence_gate(_claims(spark, d)), objects(spark, d))
     return checked.select("video_id", "frame_idx", "subj_id", "obj_id", "relation", F.round("conf", 6).alias("conf"), "inferred", "spatial_checked")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the pair classifier.
@@ -70,23 +70,49 @@ def normalized_gap(a: Box, b: Box) -> Column:
     return edge_gap(a, b) / F.least(short(a), short(b))
 
 
-def classify_pair(a: Box, b: Box) -> Column:
-    """struct(relation, a_is_subject): inside, left_of or above; null where nothing is clear."""
-    common = intersection(a, b)
-    dx = (a.xmin + a.xmax) / 2 - (b.xmin + b.xmax) / 2
-    dy = (a.ymin + a.ymax) / 2 - (b.ymin + b.ymax) / 2
-    says = lambda name, forward: F.struct(F.lit(name).alias("relation"), forward.alias("a_is_subject"))
+#: Codes of a pair's relation; a negative one has the second box as its subject.
+INSIDE, LEFT_OF, ABOVE = 1, 2, 3
+RELATIONS = {INSIDE: "inside", LEFT_OF: "left_of", ABOVE: "above"}
+
+
+def relation_code(area_a: Column, area_b: Column, common: Column, dx: Column, dy: Column) -> Column:
+    """The relation of two boxes as a code, from their areas, the area they share and the offsets of their centres (a less b); null where nothing is clear."""
     sideways = F.abs(dx) >= F.abs(dy)
+    way = lambda code, forward: F.when(forward, code).otherwise(-code)
     return (
-        F.when((a.area <= 0) | (b.area <= 0), None)
-        .when((common / a.area >= CONTAINED) & (a.area <= SMALLER * b.area), says("inside", F.lit(True)))
-        .when((common / b.area >= CONTAINED) & (b.area <= SMALLER * a.area), says("inside", F.lit(False)))
-        .when(iou(a, b) > OVERLAP_MOST, None)
-        .when(sideways & (F.abs(dx) >= OFFSET_LEAST), says("left_of", dx < 0))
-        .when(~sideways & (F.abs(dy) >= OFFSET_LEAST), says("above", dy < 0))
+        F.when((area_a <= 0) | (area_b <= 0), None)
+        .when((common / area_a >= CONTAINED) & (area_a <= SMALLER * area_b), INSIDE)
+        .when((common / area_b >= CONTAINED) & (area_b <= SMALLER * area_a), -INSIDE)
+        .when(common / (area_a + area_b - common) > OVERLAP_MOST, None)
+        .when(sideways & (F.abs(dx) >= OFFSET_LEAST), way(LEFT_OF, dx < 0))
+        .when(~sideways & (F.abs(dy) >= OFFSET_LEAST), way(ABOVE, dy < 0))
     )
 
 
+def classified(pairs: DataFrame, a: str = "a_", b: str = "b_", name: str = "code") -> DataFrame:
+    """Pairs of boxes (a_ymin, ..., b_xmax) with their :func:`relation_code`.
+
+    Areas, overlap and offsets are columns of their own, made once a pair: each
+    projection has a row id that isn't deterministic to the optimiser, so it
+    neither repeats their expressions in the next nor moves a filter below them.
+    """
+    x, y = Box.of(a), Box.of(b)
+    once = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
+    parts = {"_sa": x.area, "_sb": y.area, "_common": intersection(x, y), "_dx": (x.xmin + x.xmax) / 2 - (y.xmin + y.xmax) / 2, "_dy": (x.ymin + x.ymax) / 2 - (y.ymin + y.ymax) / 2}
+    code = relation_code(*(F.col(c) for c in parts))
+    return pairs.withColumns({k: once(v) for k, v in parts.items()}).withColumn(name, once(code)).drop(*parts)
+
+
+def classify_pair(a: Box, b: Box) -> Column:
+    """struct(relation, a_is_subject): inside, left_of or above; null where nothing is clear. For single pairs; tables take :func:`classified`."""
+    code = relation_code(a.area, b.area, intersection(a, b), (a.xmin + a.xmax) / 2 - (b.xmin + b.xmax) / 2, (a.ymin + a.ymax) / 2 - (b.ymin + b.ymax) / 2)
+    return F.when(code.isNotNull(), F.struct(relation_name(code).alias("relation"), (code > 0).alias("a_is_subject")))
+
+
+def relation_name(code: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(RELATIONS[i]) for i in sorted(RELATIONS)]), F.abs(code).cast("int"))
+
+
 def grid_position(box: Box) -> Column:
     """The name of the 3 x 3 grid cell that holds the box's centre, such as ``top-left`` or ``center``."""
     third = lambda v, names: F.when(v < 1 / 3, names[0]).when(v < 2 / 3, names[1]).otherwise(names[2])
