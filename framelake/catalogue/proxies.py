@@ -22,11 +22,11 @@ SQL = {
         SELECT 'V' || CAST(doc_id % 20 AS VARCHAR) AS video_id, CAST(doc_id * 7 % 500 AS INTEGER) AS frame_start, CAST(doc_id * 7 % 500 + doc_id % 9 AS INTEGER) AS frame_end,
                lower(trim(regexp_replace(replace(lower(strip_accents(text)), 'đ', 'd'), '\\s+', ' ', 'g'))) AS text_norm,
                (n_chars % 70) / 100e0 AS ymin, (doc_id % 70) / 100e0 AS xmin, (n_chars % 70) / 100e0 + 2e-1 AS ymax, (doc_id % 70) / 100e0 + 3e-1 AS xmax, doc_id
-        FROM documents WHERE doc_id % 3 = 1)""",
+        FROM documents)""",
     "speech": """speech AS (
         SELECT 'V' || CAST(doc_id % 20 AS VARCHAR) AS video_id, CAST(doc_id * 11 % 500 AS INTEGER) AS frame_idx_start, CAST(doc_id * 11 % 500 + doc_id % 13 AS INTEGER) AS frame_idx_end,
                text AS text_raw, lower(trim(regexp_replace(replace(lower(strip_accents(text)), 'đ', 'd'), '\\s+', ' ', 'g'))) AS text_norm, doc_id
-        FROM documents WHERE doc_id % 3 = 0)""",
+        FROM documents)""",
     "moments": "moments AS (SELECT user_id AS video_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id, value AS score FROM events)",
     "label_types": """label_types AS (SELECT * FROM (VALUES ('AF', ['person']), ('AO', ['animal', 'object']), ('NF', ['vehicle']), ('NO', ['object']), ('RF', ['surface', 'object']), ('RO', ['container'])) v(label, categories))""",
     "q": "q AS (SELECT vec AS qv FROM frames WHERE frame_idx = 0)",
@@ -78,7 +78,7 @@ def videos(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id % 3 = 1")
+    docs = table(spark, d, "documents")
     at = F.col("doc_id") * 7 % 500
     top, left = (F.col("n_chars") % 70) / 100.0, (F.col("doc_id") % 70) / 100.0
     return docs.select(
@@ -88,7 +88,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def speech(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id % 3 = 0")
+    docs = table(spark, d, "documents")
     at = F.col("doc_id") * 11 % 500
     return docs.select(
         _video(F.col("doc_id")).alias("video_id"), at.cast("int").alias("frame_idx_start"), (at + F.col("doc_id") % 13).cast("int").alias("frame_idx_end"), F.col("text").alias("text_raw"),

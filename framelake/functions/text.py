@@ -30,9 +30,30 @@ def strip_accents(text: Column) -> Column:
     return F.translate(F.lower(text), *_folding())
 
 
+@lru_cache(maxsize=1)
+def _composed() -> list[tuple[str, str]]:
+    """(letter and mark, the one character for both), letters with fewer marks first; by the rules of Unicode's canonical composition."""
+    pairs = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        for i in range(1, len(parts)):
+            rest = parts[1:i] + parts[i + 1 :]
+            first = unicodedata.normalize("NFC", parts[0] + rest)
+            if unicodedata.normalize("NFC", first + parts[i]) == c and len(first) == 1:
+                pairs[first + parts[i]] = c
+    return sorted(pairs.items(), key=lambda x: (len(unicodedata.normalize("NFD", x[1])), x))
+
+
+def composed(text: Column) -> Column:
+    """Latin letters followed by combining marks as one character each; only texts that have such marks are changed."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _composed()])
+    return F.when(text.rlike("[\u0300-\u036f]"), F.aggregate(pairs, text, lambda t, x: F.replace(t, x["a"], x["b"]))).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
-    """Trimmed lower case with single blanks."""
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    """Composed, trimmed lower case with single blanks."""
+    return F.lower(F.trim(F.regexp_replace(composed(text), r"\s+", " ")))
 
 
 def contains_phrase(text: Column, phrase: Column | str) -> Column:

@@ -16,6 +16,7 @@ from ..functions.geometry import Box, iou
 from ..functions.text import contains_phrase, ordered_words, significant_tokens
 from ..functions.vectors import dot, literal
 from .filters import KEY
+from .temporal import within
 
 POSITION, AUDIO, REGION, SECONDARY, SPEECH, AGREEMENT = 0.15, 0.08, 0.5, 0.15, 0.08, 0.05
 
@@ -52,21 +53,14 @@ def text_position_signal(lines: DataFrame, needle: str, region: tuple[float, flo
 
 
 def spoken_signal(results: DataFrame, speech: DataFrame, term: str, fps: DataFrame | None = None, seconds: float = 3.0, default_fps: float = 25.0) -> DataFrame:
-    """1 for results within ``seconds`` of a segment that says the term's words in order.
-
-    An interval join: equal video, range of frames. Both sides are dealt by
-    video; the results are a bounded pool, so Spark broadcasts them.
-    """
+    """1 for results within ``seconds`` of a segment that says the term's words in order. Segments meet results by video and stretch of frames."""
     said = speech.where(ordered_words(F.col("text_norm"), term)).select("video_id", "frame_idx_start", "frame_idx_end")
-    rows = results.select(*KEY).distinct()
+    rate = F.lit(default_fps)
     if fps is not None:
-        rows = rows.join(fps, "video_id", "left")
+        said = said.join(fps.select("video_id", "fps"), "video_id", "left")
         rate = F.coalesce("fps", F.lit(default_fps))
-    else:
-        rate = F.lit(default_fps)
-    rows = rows.withColumn("margin", F.bround(rate * seconds).cast("int"))
-    near = (F.col("frame_idx") >= F.col("frame_idx_start") - F.col("margin")) & (F.col("frame_idx") <= F.col("frame_idx_end") + F.col("margin"))
-    return rows.join(said, "video_id").where(near).select(*KEY).distinct().withColumn("signal", F.lit(1.0))
+    said = said.withColumn("margin", F.bround(rate * seconds).cast("int"))
+    return within(results.select(*KEY).distinct(), said, F.col("margin")).select(*KEY).distinct().withColumn("signal", F.lit(1.0))
 
 
 def mentioned_signal(speech: DataFrame, phrase: str) -> DataFrame:
@@ -93,9 +87,10 @@ def region_signal(objects: DataFrame, region_vectors: DataFrame, labels: Sequenc
 def agreement_signal(results: DataFrame, lines: DataFrame, speech: DataFrame, window: int = 30) -> DataFrame:
     """Common significant tokens of the text on a frame and the speech within ``window`` frames of it, over the smaller set."""
     rows = results.select(*KEY).distinct()
-    seen = rows.join(lines, "video_id").where("frame_idx between frame_start and frame_end").groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_set(significant_tokens(F.col("text_norm"))))).alias("seen"))
-    near = F.col("frame_idx").between(F.col("frame_idx_start") - window, F.col("frame_idx_end") + window)
-    heard = rows.join(speech, "video_id").where(near).groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_set(significant_tokens(F.col("text_norm"))))).alias("heard"))
+    tokens = lambda found, name: found.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias(name))
+    said = lambda table, *columns: table.select("video_id", *columns, significant_tokens(F.col("text_norm")).alias("tokens"))
+    seen = tokens(within(rows, said(lines, "frame_start", "frame_end"), 0, start="frame_start", end="frame_end"), "seen")
+    heard = tokens(within(rows, said(speech, "frame_idx_start", "frame_idx_end"), window), "heard")
     both = seen.join(heard, KEY).where((F.size("seen") > 0) & (F.size("heard") > 0))
     share = F.size(F.array_intersect("seen", "heard")) / F.least(F.size("seen"), F.size("heard"))
     return both.select(*KEY, share.alias("signal"))

@@ -85,11 +85,16 @@ def known_terms(sentences: DataFrame, entries: dict[str, str], key: str, text: s
 def valid_synonyms(candidates: DataFrame, canonical: DataFrame) -> DataFrame:
     """(label, synonym) that neither contains another label's canonical name nor is claimed by several labels, unless it is the label's own name.
 
-    ``canonical`` (one short name per label) is broadcast for the containment test.
+    Synonyms are short: their stretches that are as long as some name meet the
+    names by equality, so nothing is broadcast and no pairs are tried.
     """
     own = canonical.select(F.col("label").alias("c_label"), normalize(F.col("name")).alias("c_name")).where("c_name <> ''")
     rows = candidates.select("label", "synonym", normalize(F.col("synonym")).alias("s"))
-    other = rows.join(F.broadcast(own), (F.col("c_label") != F.col("label")) & F.contains(F.col("s"), F.col("c_name")), "left_anti")
+    lengths = sorted(r[0] for r in own.select(F.length("c_name")).distinct().collect())  # a number for each length of a name
+    starts = lambda n: F.transform(F.when(F.length("s") >= n, F.sequence(F.lit(1), F.length("s") - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.substring(F.col("s"), i, F.lit(n)))
+    parts = F.array_distinct(F.concat(*[starts(n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    held = rows.select("s", "label").distinct().withColumn("c_name", F.explode(parts)).join(own, "c_name").where("c_label <> label").select("s", "label").distinct()
+    other = rows.join(held, ["s", "label"], "left_anti")
     owners = other.select("s", "label").distinct().groupBy("s").agg(F.count("*").alias("owners"))
     judged = other.join(owners, "s").join(own, F.col("label") == F.col("c_label"), "left")
     return judged.where((F.col("owners") <= 1) | (F.col("s") == F.col("c_name"))).select("label", "synonym")

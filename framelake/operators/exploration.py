@@ -85,7 +85,7 @@ def facet_gains(rows: DataFrame, facets: Sequence[str], belief: str = "belief")
 def reweighted(rows: DataFrame, likelihood: Column, belief: str = "belief") -> DataFrame:
     """Beliefs after an answer: times its likelihood, over their sum."""
     new = rows.withColumn(belief, F.col(belief) * likelihood)
-    return new.withColumn(belief, F.col(belief) / F.sum(belief).over(Window.partitionBy()))
+    return new.withColumn(belief, F.col(belief) / new.agg(F.sum(belief)).scalar())
 
 
 def grid_lists(objects: DataFrame, position: Column, k: int) -> DataFrame:

@@ -76,6 +76,8 @@ def by_drawn_box(objects: DataFrame, lines: DataFrame | None, box: dict) -> Data
         found = by_text(lines, box.get("text") or "", None)
         if found is not None:
             return found
+        if lines is None:
+            raise ValueError("there is no table of on-screen text")
         return lines.select("video_id", F.explode(F.sequence("frame_start", "frame_end")).alias("frame_idx")).distinct()
     return by_label_groups(objects, [(tuple(box.get("labels") or ("",)), box.get("min_count", 1))], use_suppression=False)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, literal
 from .filters import KEY
+from .sequence import numbered
 
 RRF_K = 60
 
@@ -70,12 +71,16 @@ def max_per_group(rows: DataFrame, group: Sequence[str], k: int, order: Sequence
 
 
 def calibrated(rows: DataFrame, columns: Sequence[str], how: str = "minmax") -> DataFrame:
-    """Scores of a bounded pool on one scale: ``minmax`` or ``percent_rank``, as c_name."""
-    w = Window.partitionBy()
+    """Scores on one scale: ``minmax`` or ``percent_rank``, as c_name. Least and greatest values are scalar subqueries; percent ranks come from numbered values."""
     for c in columns:
-        low, high = F.min(c).over(w), F.max(c).over(w)
-        scaled = F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(0.0)
-        rows = rows.withColumn(f"c_{c}", scaled if how == "minmax" else F.percent_rank().over(w.orderBy(c)))
+        if how == "minmax":
+            low, high = rows.agg(F.min(c)).scalar(), rows.agg(F.max(c)).scalar()
+            rows = rows.withColumn(f"c_{c}", F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(0.0))
+        else:
+            first = numbered(rows.select(F.col(c).alias("_v")), ["_v"]).groupBy("_v").agg(F.min("position").alias("_first"))
+            others = rows.agg(F.count("*") - 1).scalar()
+            placed = rows.join(first, F.col(c).eqNullSafe(F.col("_v")), "left")
+            rows = placed.withColumn(f"c_{c}", F.when(others > 0, F.col("_first") / others).otherwise(0.0)).drop("_v", "_first")
     return rows
 
 
@@ -108,8 +113,8 @@ def comb_sum(pools: Sequence[tuple[str, DataFrame]], key: Sequence[str] = KEY, t
 
 
 def beliefs(rows: DataFrame, score: str = "score") -> DataFrame:
-    """belief: each row's share of all scores in a bounded pool."""
-    return rows.withColumn("belief", F.col(score) / F.sum(score).over(Window.partitionBy()))
+    """belief: each row's share of all scores."""
+    return rows.withColumn("belief", F.col(score) / rows.agg(F.sum(score)).scalar())
 
 
 def entropy(belief: str = "belief") -> Column:
@@ -118,13 +123,23 @@ def entropy(belief: str = "belief") -> Column:
     return -F.sum(F.when(p > 0, p * F.log2(p)).otherwise(0.0))
 
 
-def diverse(rows: DataFrame, k: int, vector: str = "vec", score: str = "score", mu: float = 0.7) -> list:
-    """Maximal marginal relevance over a bounded pool, on the driver: the chosen rows in order."""
-    pool = rows.collect()
-    chosen: list = []
-    similar = lambda a, b: sum(x * y for x, y in zip(a[vector], b[vector], strict=True))
-    while pool and len(chosen) < k:
-        best = max(pool, key=lambda r: mu * r[score] - (1 - mu) * max((similar(r, c) for c in chosen), default=0.0))
-        pool.remove(best)
-        chosen.append(best)
+def diverse(rows: DataFrame, k: int, vector: str = "vec", score: str = "score", mu: float = 0.7, pool: int = 1000, key: Sequence[str] = ()) -> list:
+    """Maximal marginal relevance over the ``pool`` best rows, on the driver: the chosen rows in order.
+
+    Each turn updates one number a row (its likeness to the chosen), so the work is k * pool.
+    """
+    import numpy as np
+
+    found = top_k(rows, pool, score, key).collect()
+    if not found:
+        return []
+    vectors, scores = np.array([r[vector] for r in found], dtype=float), np.array([r[score] for r in found], dtype=float)
+    chosen, nearest, free = [], np.zeros(len(found)), np.ones(len(found), dtype=bool)
+    while free.any() and len(chosen) < k:
+        value = np.where(free, mu * scores - (1 - mu) * (nearest if chosen else 0), -np.inf)
+        best = int(value.argmax())
+        free[best] = False
+        alike = vectors @ vectors[best]
+        nearest = alike if not chosen else np.maximum(nearest, alike)
+        chosen.append(found[best])
     return chosen

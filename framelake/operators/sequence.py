@@ -46,8 +46,10 @@ def numbered(rows: DataFrame, order: Sequence[str], name: str = "position") -> D
     rows are checkpointed, as ranges are sampled anew each time they are made.
     """
     spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():  # a session on one machine that names none
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-"))
+    if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-"))  # a session on one machine that names none
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     dealt = dealt.withColumn("_part", F.shiftright("_id", 33)).withColumn("_i", F.col("_id") - F.shiftleft("_part", 33)).drop("_id").checkpoint()
     starts, total = [], 0
@@ -95,9 +97,20 @@ def carry(rows: DataFrame, value: str, order: Sequence[str], by: Sequence[str] =
 
 
 def closest_in_video(rows: DataFrame, truth: DataFrame, k: int = 9, by: str = "video_id", order: str = "frame_idx") -> DataFrame:
-    """For each truth row its k nearest other frames of the video, by distance, then by place."""
-    t = truth.select(F.col(by), F.col(order).alias("truth_idx"))
-    pairs = rows.join(t, by).where(F.col(order) != F.col("truth_idx")).withColumn("distance", F.abs(F.col(order) - F.col("truth_idx")))
+    """For each truth row its k nearest other frames of the video, by distance, then by place.
+
+    Frames are numbered in their video; a truth row meets the k numbers before
+    its own frame's and the k after them, by number, and no others.
+    """
+    w = Window.partitionBy(by)
+    number = F.row_number().over(w.orderBy(order))
+    placed = rows.withColumn("_i", number)
+    marks = truth.select(F.col(by), F.col(order), F.lit(0).alias("_row")).unionByName(rows.select(F.col(by), F.col(order), F.lit(1).alias("_row")))
+    upto = F.sum("_row").over(w.orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    before = F.sum("_row").over(w.orderBy(order).rangeBetween(Window.unboundedPreceding, -1))
+    t = marks.withColumns({"_upto": upto, "_under": F.coalesce(before, F.lit(0).cast("bigint"))}).where("_row = 0").select(F.col(by), F.col(order).alias("truth_idx"), "_upto", "_under")
+    near = F.concat(F.sequence(F.col("_under") - (k - 1), F.col("_under")), F.sequence(F.col("_upto") + 1, F.col("_upto") + k))
+    pairs = t.withColumn("_i", F.explode(near)).drop("_upto", "_under").join(placed, [by, "_i"]).drop("_i").withColumn("distance", F.abs(F.col(order) - F.col("truth_idx")))
     place = F.row_number().over(Window.partitionBy(by, "truth_idx").orderBy("distance", order))
     return pairs.withColumn("place", place).where(F.col("place") <= k)
 

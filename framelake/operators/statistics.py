@@ -101,8 +101,7 @@ def concatenated(rows: DataFrame, by: Sequence[str], order: Sequence[str], text:
 def axis_statistics(rows: DataFrame, column: str) -> DataFrame:
     """entropy in bits, number of values and share of the commonest: whether a column can split results."""
     counts = value_counts(rows.where(F.col(column).isNotNull()), column)
-    total = F.sum("n").over(Window.partitionBy())
-    p = counts.select((F.col("n") / total).alias("p"))
+    p = counts.select((F.col("n") / counts.agg(F.sum("n")).scalar()).alias("p"))
     return p.agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.count("*").alias("n_values"), F.max("p").alias("top_share"))
 
 
@@ -110,8 +109,9 @@ def bm25(documents: DataFrame, terms: Sequence[str], key: str, text: str, k1: fl
     """(key, score) of the rows that have any of the terms, as blank-separated words."""
     words = documents.select(key, F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("words"))
     facts = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    hits = words.select(key, F.size("words").alias("size"), F.explode(F.array(*map(F.lit, dict.fromkeys(terms)))).alias("term"), "words")
-    hits = hits.withColumn("tf", F.size(F.filter("words", lambda w: w == F.col("term"))).cast("double")).where("tf > 0").drop("words")
+    count = lambda t: F.struct(F.lit(t).alias("term"), F.size(F.filter("words", lambda w: w == t)).cast("double").alias("tf"))
+    found = words.select(key, F.size("words").alias("size"), F.filter(F.array(*map(count, dict.fromkeys(terms))), lambda x: x["tf"] > 0).alias("found"))
+    hits = found.select(key, "size", F.explode("found").alias("x")).select(key, "size", "x.*")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(facts.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(float(facts.mean or 1))))

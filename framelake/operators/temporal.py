@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,9 +30,19 @@ def nearest(points: DataFrame, frames: DataFrame, point_time: str, frame_time: s
     return both.select("_p.*", chosen.alias(f"nearest_{frame}"))
 
 
-def within(points: DataFrame, intervals: DataFrame, margin: int, by: str = "video_id", at: str = "frame_idx", start: str = "frame_idx_start", end: str = "frame_idx_end") -> DataFrame:
-    """Points with each interval of their video that holds them, ``margin`` to either side."""
-    return points.join(intervals, by).where(F.col(at).between(F.col(start) - margin, F.col(end) + margin))
+def within(points: DataFrame, intervals: DataFrame, margin: int | Column, by: str = "video_id", at: str = "frame_idx", start: str = "frame_idx_start", end: str = "frame_idx_end", width: int = 256) -> DataFrame:
+    """Points with each interval of their video that holds them, ``margin`` (a number, or a column of the intervals) to either side.
+
+    Intervals are dealt over stretches of ``width`` frames and meet points by
+    video and stretch: a long video is many small keys, and a point, which lies
+    in one stretch, meets an interval once.
+    """
+    side = F.lit(margin) if isinstance(margin, int) else margin
+    low, high = F.col(start) - side, F.col(end) + side
+    dealt = intervals.withColumns({"_low": low, "_high": high}).where("_low <= _high")
+    dealt = dealt.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))))
+    placed = points.withColumn("_stretch", F.floor(F.col(at) / width))
+    return placed.join(dealt, [by, "_stretch"]).where(F.col(at).between(F.col("_low"), F.col("_high"))).drop("_stretch", "_low", "_high")
 
 
 def chain_best(pools: Sequence[DataFrame], aggregate: str = "min", k: int | None = None, by: str = "video_id", time: str = "frame_idx") -> DataFrame:
@@ -97,6 +108,21 @@ def neighbours(hits: DataFrame, frames: DataFrame, radius: int, by: str = "video
     return frames.join(near, [by, frame], "left_semi")
 
 
+def likeness_to_previous(rows: DataFrame, vector: str = "vec", by: str = "video_id", order: str = "frame_idx", out: str = "alike") -> DataFrame:
+    """The cosine of a row's vector and that of the row before it in its video; null for the first and for vectors without length."""
+    before = F.lag(vector).over(Window.partitionBy(by).orderBy(order))
+    product = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
+    rows = rows.withColumn("_before", before)
+    length = F.sqrt(product(F.col(vector), F.col(vector))) * F.sqrt(product(F.col("_before"), F.col("_before")))
+    return rows.withColumn(out, F.when(length > 0, product(F.col(vector), F.col("_before")) / length)).drop("_before")
+
+
+def first_of_shots(rows: DataFrame, shot: str = "shot", by: str = "video_id", score: str = "score", order: str = "frame_idx") -> DataFrame:
+    """The best row of each shot (ties: the earlier one)."""
+    place = F.row_number().over(Window.partitionBy(by, shot).orderBy(F.desc(score), order))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
 def shots(rows: DataFrame, similarity: str, least: float = 0.97, by: str = "video_id", order: str = "frame_idx") -> DataFrame:
     """shot: counts up where a row's similarity to the one before is under ``least``."""
     w = Window.partitionBy(by).orderBy(order)
@@ -104,19 +130,25 @@ def shots(rows: DataFrame, similarity: str, least: float = 0.97, by: str = "vide
 
 
 def linear_chain(edges: Sequence[tuple[str, str]], nodes: Sequence[str]) -> list[str]:
-    """The nodes of "before" edges in order; without exactly one start, in the order in which edges name them."""
-    if not edges:
-        return []
-    known = set(nodes)
-    following = dict(edges)
-    starts = [a for a, _ in edges if a not in set(following.values())]
-    if len(starts) != 1:
-        return [x for x in dict.fromkeys([a for a, _ in edges] + [edges[-1][1]]) if x in known]
-    chain, at = [], starts[0]
-    while at in known and at not in chain:
-        chain.append(at)
-        at = following.get(at)
-    return chain
+    """The nodes that "before" edges order, as one chain.
+
+    Of an event's edges the latest counts. Where exactly one edge begins at an
+    event that none leads to, the chain goes from there along the edges, as long
+    as events are new and known. Else the order of declaration stands: of the edges' first
+    ends, then of the last edge's second end.
+    """
+    latest = dict(edges)
+    waiting = Counter(latest.values())
+    beginnings = [x for x, _ in edges if not waiting[x]]
+    if len(beginnings) != 1:
+        mentioned = [x for x, _ in edges] + [later for _, later in edges[-1:]]
+        return sorted({x for x in mentioned if x in nodes}, key=mentioned.index)
+    steps: list[str] = []
+    ahead = beginnings
+    while ahead and ahead[-1] in nodes and ahead[-1] not in steps:
+        steps.append(ahead[-1])
+        ahead = [latest[x] for x in steps[-1:] if x in latest]
+    return steps
 
 
 def union_pools(pools: Sequence[DataFrame]) -> DataFrame:

@@ -104,7 +104,7 @@ def search(
     if agreement:
         result = boosts.boosted(result, boosts.agreement_signal(result, lib.lines, lib.speech), "agreement", boosts.AGREEMENT)
     if log:
-        log.add("plan", f"filters={keys is not None}, pool={4 * k if wide else k}")
+        log.note("plan", f"filters={keys is not None}, pool={4 * k if wide else k}")
     if keys is None or not with_backfill:
         return top_k(result, k).withColumn("is_backfill", F.lit(False))
     return backfill(result, ranked(lib, queries, k, None), k)
@@ -125,6 +125,15 @@ class Anchor:
     queries: Mapping[str, Sequence[float]]
     filters: Filters = field(default_factory=Filters)
 
+    @staticmethod
+    def of(said: str | Mapping | Anchor, encode: Callable[[str], Mapping[str, Sequence[float]]]) -> Anchor:
+        """An anchor from a sentence, or from a mapping with ``text`` and any fields of Filters."""
+        if isinstance(said, Anchor):
+            return said
+        if isinstance(said, str):
+            return Anchor(encode(said))
+        return Anchor(encode(said["text"]), Filters(**{k: v for k, v in said.items() if k != "text"}))
+
 
 def search_temporal(lib: Library, anchors: Sequence[Anchor], k: int = 100, f: Filters | None = None, pool: int = 1000, aggregate: str = "min", backfilled: bool = False) -> DataFrame:
     """Per video the best frames in strict order, one for each anchor; at least two anchors. Backfill stays out of the pools unless asked for."""
@@ -156,27 +165,27 @@ def answer_question(results: DataFrame, speech: DataFrame | None, ask: Callable[
 
 def run_graph(
     lib: Library, graph: QueryGraph, encode: Callable[[str], Mapping[str, Sequence[float]]], k: int = 100, pool: int = 1000, budget: int = 400,
-    check_edge: Callable[[DataFrame, object], DataFrame] | None = None, most_checked: int = 15,
+    check_edge: Callable[[DataFrame, object], DataFrame] | None = None, most_checked: int = 15, seconds: float | None = None, log: StepLog | None = None,
 ) -> tuple[DataFrame, list]:
     """A graph's scenes, counts and spatial edges as filters on a pool; semantic edges are checked on a short list, or returned as unverified.
 
     A checked edge gives (key, edge_score); a frame's score is the least of its
-    own and its edges'.
+    own and its edges'. Where ``seconds`` have gone by before an edge's turn, it
+    and those after it stay unverified.
     """
-    scenes = graph.scenes()
-    text = " ".join(n.scene for n in scenes)
+    log = log or StepLog()
+    label, kinds = graph.labels(), graph.edges_by_kind()
     f = Filters(
-        groups=[((n.label,), n.count) for n in graph.counts()],
-        relations=[(e.relation, graph.label_of(e.src), graph.label_of(e.dst)) for e in graph.of("spatial")],
+        groups=[((n.label,), n.count) for n in graph.nodes_where(lambda n: n.label and n.count > 1)],
+        relations=[(e.relation, label.get(e.src), label.get(e.dst)) for e in kinds.get("spatial", [])],
     )
-    short = search(lib, encode(text), pool, f, with_backfill=False)
-    short = top_k(short, budget)
-    semantic = graph.of("semantic")
-    if not semantic:
-        return top_k(short, k), []
-    if check_edge is None or short.limit(most_checked + 1).count() > most_checked:
-        return top_k(short, k), semantic
-    for edge in semantic:
-        scores = check_edge(short, edge).select(*filters.KEY, "edge_score")
+    text = " ".join(n.scene for n in graph.nodes_where(lambda n: n.scene))
+    short = log.run("pool", lambda: top_k(search(lib, encode(text), pool, f, with_backfill=False), budget))
+    asked = list(kinds.get("semantic", []))
+    if asked and (check_edge is None or log.run("size", lambda: short.limit(most_checked + 1).count()) > most_checked):
+        return top_k(short, k), asked
+    while asked and (seconds is None or log.seconds() < seconds):
+        edge = asked.pop(0)
+        scores = log.run(f"edge {edge.relation}", lambda e=edge: check_edge(short, e)).select(*filters.KEY, "edge_score")
         short = short.join(scores, filters.KEY, "left").withColumn("score", F.least("score", F.coalesce("edge_score", F.lit(0.0)))).drop("edge_score")
-    return top_k(short, k), []
+    return top_k(short, k), asked

@@ -28,10 +28,9 @@ def test_model_answers():
 
 def test_step_log():
     times = iter([0.0, 2.0])
-    log = planner.StepLog(clock=lambda: next(times))
-    with log.timed("a") as say:
-        say(5)
-    assert log.steps == [{"step": "a", "detail": "5", "elapsed_s": 2.0}] and log.total == 2.0
+    log = planner.StepLog(now=lambda: next(times))
+    assert log.run("a", lambda: 5, str) == 5
+    assert log.rows == [("a", "5", 2.0)] and log.seconds() == 2.0
 
 
 def test_retry():
@@ -121,7 +120,36 @@ def test_graphs(lib):
     rows, unverified = search.run_graph(lib, g, lambda text: Q, check_edge=lambda short, e: short.select("video_id", "frame_idx", F.lit(0.25).alias("edge_score")))
     assert rows.first().score == 0.25 and unverified == []
     order = QueryGraph([Node("a"), Node("b"), Node("c")], [Edge("b", "c", "before", "temporal"), Edge("a", "b", "before", "temporal")])
-    assert [n.id for n in order.chain()] == ["a", "b", "c"] and g.scenes()[0].id == "s" and g.counts() == []
+    assert [n.id for n in order.events()] == ["a", "b", "c"] and g.labels() == {"s": None, "d": "Dog", "c": "Cat"} and list(g.edges_by_kind()) == ["spatial", "semantic"]
+    rows, unverified = search.run_graph(lib, g, lambda text: Q, check_edge=lambda short, e: short, seconds=0.0)
+    assert rows.count() == 1 and [e.relation for e in unverified] == ["chasing"]
+
+
+def test_chains_of_events():
+    from framelake.operators.temporal import linear_chain
+
+    assert linear_chain([], ["a"]) == []
+    assert linear_chain([("b", "c"), ("a", "b")], "abc") == ["a", "b", "c"]
+    assert linear_chain([("a", "b"), ("b", "a")], "ab") == ["a", "b"]  # no start: as declared
+    assert linear_chain([("a", "c"), ("b", "c")], "abc") == ["a", "b", "c"]
+    assert linear_chain([("x", "a"), ("a", "b"), ("a", "c"), ("b", "d")], "xabcd") == ["x", "a", "b", "d"]
+    assert linear_chain([("x", "a"), ("a", "b")], "x") == ["x"]
+
+
+def test_steps_that_fail_are_noted(spark):
+    log = planner.StepLog()
+    with pytest.raises(ZeroDivisionError):
+        log.run("bad", lambda: 1 / 0)
+    assert log.table(spark).select("place", "step", "detail").collect() == [(0, "bad", "failed")]
+
+
+def test_number_words_of_two_words():
+    assert planner.rule_based("một số người và một vài chó", ENTRIES).entities == [{"term": "người", "min_count": 2}, {"term": "chó", "min_count": 2}]
+
+
+def test_anchors(lib):
+    a = search.Anchor.of({"text": "x", "groups": [(("Dog",), 1)]}, lambda t: Q)
+    assert a.queries == Q and a.filters.groups == [(("Dog",), 1)] and search.Anchor.of("x", lambda t: Q).queries == Q and search.Anchor.of(a, None) is a
 
 
 def test_encoders(spark):
@@ -131,3 +159,19 @@ def test_encoders(spark):
     images = spark.createDataFrame([("v", 1, b"x")], "video_id string, frame_idx int, content binary")
     box = {"label": "Dog", "score": 0.5, "ymin": 0.0, "xmin": 0.0, "ymax": 1.0, "xmax": 1.0}
     assert models.detected(images, lambda batch: [[box, box | {"score": 0.1}] for _ in batch]).count() == 1
+
+
+def test_models_of_many_rows(spark):
+    rows = spark.createDataFrame([(1, "c", "p1"), (2, None, "p2"), (3, "", None)], "id int, context string, path string")
+    got = models.answered(rows, "what?", lambda prompts, images: [f"{p}|{i}" for p, i in zip(prompts, images, strict=True)], batch=2).orderBy("id").collect()
+    assert [r.answer for r in got] == ["what?\nc|p1", "what?|p2", "what?|None"]
+    images = spark.createDataFrame([("v", 1, b"ab"), ("v", 2, b"")], "video_id string, frame_idx int, content binary")
+    line = {"text": "x", "score": 0.9, "ymin": 0.0, "xmin": 0.0, "ymax": 1.0, "xmax": 1.0}
+    got = models.read_lines(images, lambda batch: [[line | {"text": chr(c)} for c in x] for x in batch]).collect()
+    assert [(r.frame_idx, r.text_raw) for r in got] == [(1, "a"), (1, "b")]
+    sounds = spark.createDataFrame([("v", 28.0, b"xy")], "video_id string, chunk_start double, content binary")
+    got = models.transcribed(sounds, lambda batch: [[{"start": 1.0, "end": 2.0, "text": "hi"}, {"start": 2.0, "end": 3.0, "text": " "}] for _ in batch]).collect()
+    assert [tuple(r) for r in got] == [("v", 29.0, 30.0, "hi")]
+    objects = spark.createDataFrame([(7, "v", 1, 0.0, 0.0, 0.5, 0.5), (8, "w", 1, 0.0, 0.0, 0.5, 0.5)], "detection_id int, video_id string, frame_idx int, ymin double, xmin double, ymax double, xmax double")
+    got = models.encoded_regions(objects, images, lambda content, box: content + str(box[2]).encode(), models.HashEncoder("x", 4)).collect()
+    assert [r.detection_id for r in got] == [7] and len(got[0].vec) == 4
