@@ -45,7 +45,8 @@ def q_with_neighbours(spark, d):
 
 def q_two_stage(spark, d):
     rows = frames(spark, d)
-    segments = rows.where("frame_idx % 10 = 0").select((F.col("frame_idx") / 10).cast("int").alias("segment"), "vec")
+    numbered = rows.withColumn("segment", F.floor(F.col("frame_idx") / 10).cast("int"))
+    segments = numbered.groupBy("segment").agg(F.min_by("vec", "frame_idx").alias("vec"))
     inside = rows.withColumn("segment", F.floor(F.col("frame_idx") / 10).cast("int"))
     return exploration.two_stage(segments, inside, query_vector(spark, d), 8, 20, ["segment"]).select(*_KEY, "score")
 
@@ -79,7 +80,7 @@ ORACLE = {
     "q_sound_segments": "SELECT event_id FROM events WHERE value / 20 < 6e-1 AND event_id % 40 / 1e1 <= 24e-1",
     "q_with_neighbours": sql("moments", """ SELECT a.video_id, a.event_id, round(a.score + 5e-1 * greatest(coalesce(max(b.score), 0), 0), 6) AS context_score
         FROM moments a LEFT JOIN moments b ON a.video_id = b.video_id AND abs(b.t - a.t) BETWEEN 1 AND 7200 GROUP BY a.video_id, a.event_id, a.score"""),
-    "q_two_stage": sql("frames q", """, s AS (SELECT frame_idx // 10 AS segment, round(list_dot_product(vec, qv), 6) AS score FROM frames, q WHERE frame_idx % 10 = 0 ORDER BY score DESC, segment LIMIT 8)
+    "q_two_stage": sql("frames q", """, s AS (SELECT segment, round(list_dot_product(v, qv), 6) AS score FROM (SELECT frame_idx // 10 AS segment, arg_min(vec, frame_idx) AS v FROM frames GROUP BY ALL), q ORDER BY score DESC, segment LIMIT 8)
         SELECT video_id, frame_idx, round(list_dot_product(vec, qv), 6) AS score FROM frames, q WHERE frame_idx // 10 IN (SELECT segment FROM s) ORDER BY score DESC, video_id, frame_idx LIMIT 20"""),
     "q_facet_gains": sql("frames q", """, s AS (SELECT video_id, CAST(label AS VARCHAR) AS label, round(list_dot_product(vec, qv), 6) AS score FROM frames, q), b AS (SELECT *, score / sum(score) OVER () AS p FROM s WHERE score > 0),
         u AS (SELECT 'video_id' AS facet, video_id AS v, sum(p) AS p FROM b GROUP BY ALL UNION ALL SELECT 'label', label, sum(p) FROM b GROUP BY ALL)

@@ -34,7 +34,7 @@ def _scored(spark, d):
 
 def q_backfill(spark, d):
     rows = _scored(spark, d)
-    return ranking.backfill(rows.where("label = 2 and frame_idx % 7 = 0"), rows, 40).select(*_KEY, "score", "is_backfill")
+    return ranking.backfill(rows.where("label = 2 and score > 0.05"), rows, 40).select(*_KEY, "score", "is_backfill")
 
 
 def q_rrf(spark, d):
@@ -168,7 +168,7 @@ ORACLE = {
     "q_topk_dot": sql("frames q", f", s AS (SELECT video_id, frame_idx, {_DOT} AS score FROM frames, q) " + _TOP.format(k=10)),
     "q_filtered_topk": sql("frames q", f", s AS (SELECT video_id, frame_idx, {_DOT} AS score FROM frames, q WHERE label IN (1, 3)) " + _TOP.format(k=15)),
     "q_backfill": sql("frames q", f""", s AS (SELECT video_id, frame_idx, label, {_DOT} AS score FROM frames, q),
-        own AS (SELECT video_id, frame_idx, score, false AS is_backfill FROM s WHERE label = 2 AND frame_idx % 7 = 0 ORDER BY score DESC, video_id, frame_idx LIMIT 40),
+        own AS (SELECT video_id, frame_idx, score, false AS is_backfill FROM s WHERE label = 2 AND score > 5e-2 ORDER BY score DESC, video_id, frame_idx LIMIT 40),
         more AS (SELECT video_id, frame_idx, score, true AS is_backfill FROM s WHERE frame_idx NOT IN (SELECT frame_idx FROM own))
         SELECT * FROM (SELECT * FROM own UNION ALL SELECT * FROM more) ORDER BY is_backfill, score DESC, video_id, frame_idx LIMIT 40"""),
     "q_rrf": sql("frames q", f", {_PARTS}, {_ALL} SELECT video_id, frame_idx, round(sum(1e0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL ORDER BY score DESC, min(pool * 1000 + rank), video_id, frame_idx LIMIT 20"),

@@ -125,8 +125,8 @@ def q_metrics(spark, d):
 
 
 def q_truth_ranges(spark, d):
-    rows = frames(spark, d).select("video_id", F.col("frame_idx").alias("local_idx"), (F.col("frame_idx") * 3).alias("frame_idx"))
-    manifest = rows.where("local_idx % 9 = 0").select("video_id", "local_idx")
+    rows = frames(spark, d).select("video_id", F.col("frame_idx").alias("local_idx"), (F.col("frame_idx") * 3).alias("frame_idx"), "label")
+    manifest = rows.where("label < 2").select("video_id", "local_idx")
     return evaluation.truth_ranges(manifest, rows).select("video_id", "local_idx", F.col("gt_start").cast("bigint").alias("gt_start"), F.col("gt_end").cast("bigint").alias("gt_end"))
 
 
@@ -165,7 +165,7 @@ ORACLE = {
         h AS (SELECT *, sum(CAST(gain > 0 AS INTEGER)) OVER (PARTITION BY query ORDER BY rank) AS hits, row_number() OVER (PARTITION BY query ORDER BY gain DESC, rank) AS ideal FROM g)
         SELECT query, round(coalesce(max(1e0 / rank) FILTER (WHERE gain > 0), 0), 6) AS reciprocal_rank, round(coalesce(sum(hits / CAST(rank AS DOUBLE)) FILTER (WHERE gain > 0) / count(*) FILTER (WHERE gain > 0), 0), 6) AS average_precision,
                round(coalesce(sum(gain / log2(rank + 1)) / nullif(sum(gain / log2(ideal + 1)), 0), 0), 6) AS ndcg FROM h GROUP BY query"""),
-    "q_truth_ranges": sql("frames", " SELECT video_id, frame_idx AS local_idx, CAST(greatest(0, frame_idx * 3 - 150) AS BIGINT) AS gt_start, CAST(frame_idx * 3 + 150 AS BIGINT) AS gt_end FROM frames WHERE frame_idx % 9 = 0"),
+    "q_truth_ranges": sql("frames", " SELECT video_id, frame_idx AS local_idx, CAST(greatest(0, frame_idx * 3 - 150) AS BIGINT) AS gt_start, CAST(frame_idx * 3 + 150 AS BIGINT) AS gt_end FROM frames WHERE label < 2"),
 }
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}

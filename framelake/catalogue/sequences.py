@@ -43,8 +43,8 @@ def q_pair_score(spark, d):
 
 
 def q_neighbours(spark, d):
-    rows = frames(spark, d).select("video_id", "frame_idx")
-    return temporal.neighbours(rows.where("frame_idx % 97 = 5"), rows, 60)
+    rows = frames(spark, d).select("video_id", "frame_idx", "label")
+    return temporal.neighbours(rows.where("label = 3"), rows, 60).select("video_id", "frame_idx")
 
 
 def q_runs(spark, d):
@@ -79,8 +79,8 @@ def q_around(spark, d):
 
 
 def q_distractors(spark, d):
-    rows = frames(spark, d).select("video_id", "frame_idx")
-    return sequence.closest_in_video(rows, rows.where("frame_idx % 50 = 13"), 9).select("video_id", "truth_idx", "frame_idx", F.col("place").cast("bigint").alias("place"))
+    rows = frames(spark, d).select("video_id", "frame_idx", "label")
+    return sequence.closest_in_video(rows, rows.where("label = 4"), 9).select("video_id", "truth_idx", "frame_idx", F.col("place").cast("bigint").alias("place"))
 
 
 def q_stratified(spark, d):
@@ -143,7 +143,7 @@ ORACLE = {
             AND ((m.event_type = 'view' AND m.t = t1) OR (m.event_type = 'click' AND m.t = t2) OR (m.event_type = 'purchase' AND m.t = t3)) GROUP BY ALL"""),
     "q_pair_score": sql("moments", """ SELECT a.video_id, round(max(a.score + b.score), 6) AS pair_score FROM moments a JOIN moments b
         ON a.video_id = b.video_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.t - a.t BETWEEN 0 AND 36000 GROUP BY a.video_id"""),
-    "q_neighbours": sql("frames", " SELECT DISTINCT a.video_id, a.frame_idx FROM frames a JOIN frames b ON a.video_id = b.video_id AND abs(a.frame_idx - b.frame_idx) <= 60 AND b.frame_idx % 97 = 5"),
+    "q_neighbours": sql("frames", " SELECT DISTINCT a.video_id, a.frame_idx FROM frames a JOIN frames b ON a.video_id = b.video_id AND abs(a.frame_idx - b.frame_idx) <= 60 AND b.label = 3"),
     "q_runs": sql("moments", ", " + _RUN.format(gap=1500, by="video_id, event_type") + """ SELECT video_id, event_type, min(event_id) AS start, max(event_id) AS "end", count(*) AS n, round(avg(score), 6) AS score,
         arg_max(t, struct_pack(s := score, e := -event_id)) AS best_t FROM r GROUP BY video_id, event_type, run"""),
     "q_run_mid": sql("moments", ", " + _RUN.format(gap=120, by="video_id") + """ SELECT video_id, event_id, score FROM r
@@ -153,7 +153,7 @@ ORACLE = {
     "q_shard": "SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) % 7 AS shard FROM events",
     "q_segments": sql("moments", """ SELECT video_id, event_id, CAST(t AS DOUBLE) AS segment_start, t + greatest(1e-1, coalesce(lead(t) OVER (PARTITION BY video_id ORDER BY t), 1706745600) - t) AS segment_end FROM moments"""),
     "q_around": "SELECT DISTINCT l_orderkey, l_linenumber, greatest(0e0, l_partkey - 3e1) AS segment_start, least(15e2, l_partkey + 3e1) AS segment_end FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)",
-    "q_distractors": sql("frames", """ SELECT a.video_id, b.frame_idx AS truth_idx, a.frame_idx, row_number() OVER w AS place FROM frames a JOIN frames b ON a.video_id = b.video_id AND a.frame_idx <> b.frame_idx AND b.frame_idx % 50 = 13
+    "q_distractors": sql("frames", """ SELECT a.video_id, b.frame_idx AS truth_idx, a.frame_idx, row_number() OVER w AS place FROM frames a JOIN frames b ON a.video_id = b.video_id AND a.frame_idx <> b.frame_idx AND b.label = 4
         WINDOW w AS (PARTITION BY a.video_id, b.frame_idx ORDER BY abs(a.frame_idx - b.frame_idx), a.frame_idx) QUALIFY row_number() OVER w <= 9"""),
     "q_stratified": """WITH n AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY (c_custkey * 7919 + 42 * 104729) % 1000003, c_custkey) AS i,
         greatest(1, round_even(1e2 * count(*) OVER (PARTITION BY c_mktsegment) / count(*) OVER (), 0)) AS take FROM customer) SELECT c_custkey, c_mktsegment FROM n WHERE i <= take""",

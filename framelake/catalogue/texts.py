@@ -80,7 +80,7 @@ def q_priority_union(spark, d):
 
 def q_resolve(spark, d):
     parts = table(spark, d, "part")
-    entries = parts.select(F.col("p_name").alias("term_norm"), F.col("p_brand").alias("label")).where("p_partkey % 2 = 0").distinct()
+    entries = parts.select(F.col("p_name").alias("term_norm"), F.col("p_brand").alias("label"), "p_size").where("p_size >= 25").drop("p_size").distinct()
     asked = parts.select(F.explode(F.array(F.col("p_name"), F.split("p_name", " ")[1], F.concat(F.lit("big "), F.col("p_name"), F.lit(" old")))).alias("term")).distinct()
     return dictionary.resolve(asked, entries)
 
@@ -136,7 +136,7 @@ ORACLE = {
     "q_priority_union": f"""WITH u AS (SELECT p_name AS term, p_brand AS label, 1 AS priority FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT ' ' || upper(p_name) || '  ', p_type, 2 FROM part WHERE p_partkey % 3 = 1
         UNION ALL SELECT p_type, lower(p_brand), 3 FROM part WHERE p_partkey % 3 = 2), n AS (SELECT {_NORM.format('term')} AS term_norm, label, CAST(priority AS BIGINT) AS priority FROM u)
         SELECT * FROM n WHERE term_norm <> '' QUALIFY row_number() OVER (PARTITION BY term_norm ORDER BY priority, label) = 1""",
-    "q_resolve": """WITH d AS (SELECT DISTINCT p_name AS e, p_brand AS label FROM part WHERE p_partkey % 2 = 0),
+    "q_resolve": """WITH d AS (SELECT DISTINCT p_name AS e, p_brand AS label FROM part WHERE p_size >= 25),
         a AS (SELECT DISTINCT unnest([p_name, string_split(p_name, ' ')[2], 'big ' || p_name || ' old']) AS term FROM part),
         x AS (SELECT a.term, d.label FROM a JOIN d ON a.term = d.e),
         v AS (SELECT term, label, count(*) AS n FROM a JOIN d ON (contains(' ' || e || ' ', ' ' || term || ' ') OR contains(' ' || term || ' ', ' ' || e || ' '))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -120,24 +121,81 @@ def member_name(video: Column, local_idx: Column) -> Column:
     return F.concat(F.lit("keyframes/"), video, F.lit("/"), F.lpad((local_idx + 1).cast("string"), 3, "0"), F.lit(".jpg"))
 
 
-def zip_members(spark: SparkSession, path: str, pattern: str = r"\.jpg$") -> DataFrame:
-    """(archive, member, content) of ZIP files; a file is read by one task, a member at a time."""
-    import io
+def zip_members(spark: SparkSession, path: str, pattern: str = r"\.jpg$", slices: int = 16) -> DataFrame:
+    """(archive, member, content) of ZIP files.
+
+    An archive is opened in place (its directory and the members asked for are
+    read, not the file as a whole) by as many as ``slices`` tasks, each with its
+    share of the members.
+    """
     import re
+
+    def asked(batch):
+        for archive, part in zip(batch.column("path").to_pylist(), batch.column("part").to_pylist(), strict=True):
+            yield archive, lambda names, part=part: [n for n in names if re.search(pattern, n) and crc32(n.encode()) % slices == part]
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    dealt = files.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition("path", "part")
+    return dealt.mapInArrow(_members(asked), "archive string, member string, content binary")
+
+
+def keyframe_bytes(spark: SparkSession, root: str, wanted: DataFrame, per_task: int = 500) -> DataFrame:
+    """(archive, member, content) of the frames (video_id, local_idx) that are wanted, from the shards under ``root``.
+
+    Which shard and member holds a frame follows from its key; each task opens
+    one shard and reads its members there. Frames that a shard lacks are left out.
+    """
+    video = F.col("video_id")
+    keyed = wanted.select(F.concat(F.lit(root.rstrip("/") + "/"), archive_name(video)).alias("path"), member_name(video, F.col("local_idx")).alias("member")).distinct()
+    place = F.floor((F.row_number().over(Window.partitionBy("path").orderBy("member")) - 1) / per_task)
+    lists = keyed.withColumn("part", place).groupBy("path", "part").agg(F.collect_list("member").alias("members"))
+
+    def asked(batch):
+        for archive, members in zip(batch.column("path").to_pylist(), batch.column("members").to_pylist(), strict=True):
+            yield archive, lambda names, members=members: sorted(set(members) & set(names))
+
+    return lists.select("path", "members").mapInArrow(_members(asked), "archive string, member string, content binary")
+
+
+def video_bytes(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """(archive, member, content) of whole videos (video_id) from the video shards under ``root``."""
+    keyed = wanted.select(F.concat(F.lit(root.rstrip("/") + "/"), archive_name(F.col("video_id"), "Videos")).alias("path"), "video_id").distinct()
+
+    def asked(batch):
+        for archive, video in zip(batch.column("path").to_pylist(), batch.column("video_id").to_pylist(), strict=True):
+            yield archive, lambda names, video=video: [n for n in names if n.rsplit("/", 1)[-1] == f"{video}.mp4"]
+
+    return keyed.repartition("path", "video_id").mapInArrow(_members(asked), "archive string, member string, content binary")
+
+
+def _members(asked):
+    """A function for mapInArrow: the members that ``asked`` chooses from each archive's names, one at a time; archives that aren't there have none."""
     import zipfile
 
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    for member in z.namelist():
-                        if re.search(pattern, member):
-                            yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([member]), pa.array([z.read(member)], pa.binary())], names=["archive", "member", "content"])
+            for archive, choose in asked(batch):
+                files, place = file_system(archive)
+                try:
+                    source = files.open_input_file(place)
+                except FileNotFoundError:
+                    continue
+                with source, zipfile.ZipFile(source) as z:
+                    for member in choose(z.namelist()):
+                        yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([member]), pa.array([z.read(member)], pa.binary())], names=["archive", "member", "content"])
+
+    return run
+
+
+def file_system(path: str):
+    """(Arrow's file system, the path inside it) of a path or URI; a path without a scheme is a local one."""
+    import re
+
+    from pyarrow import fs
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return files.select("path", "content").mapInArrow(run, "archive string, member string, content binary")
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path else f"file://{path}")
 
 
 def mapped_path(path: Column, roots: Mapping[str, str]) -> Column:
@@ -174,11 +232,12 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
 
 
 def find_video(spark: SparkSession, roots: list[str], video: str) -> str | None:
-    """The first of <root>/<video>.mp4, <root>/<group>/<video>.mp4 and the video shard under <root> that exists."""
+    """The first of <root>/<video>.mp4, <root>/<group>/<video>.mp4 and the video's shard under <root> that exists."""
     group = video.split("_")[0]
+    shard = spark.range(1).select(archive_name(F.lit(video), "Videos")).first()[0]
     jvm = spark._jvm
     for root in roots:
-        for name in (f"{root}/{video}.mp4", f"{root}/{group}/{video}.mp4", f"{root}/Videos_{group}_a.zip"):
+        for name in (f"{root}/{video}.mp4", f"{root}/{group}/{video}.mp4", f"{root}/{shard}"):
             target = jvm.org.apache.hadoop.fs.Path(name)
             if target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target):
                 return name

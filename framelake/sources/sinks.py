@@ -42,6 +42,50 @@ def bucketed_table(df: DataFrame, name: str, buckets: int, key: Sequence[str]) -
     df.write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key).saveAsTable(name)
 
 
+def write_files(files: DataFrame, root: str, path: str = "path", content: str = "content") -> int:
+    """Write each row's content (text or bytes) to the file ``root``/path, by tasks; how many. Run again, files are replaced."""
+    import pyarrow as pa
+
+    from .readers import file_system
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                fs, place = file_system(f"{root}/{name}")
+                fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(place) as out:
+                    out.write(data.encode() if isinstance(data, str) else data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    done = files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, "n bigint").agg(F.sum("n")).first()
+    return done[0] or 0
+
+
+def audit(marked: DataFrame, path: str) -> DataFrame:
+    """The rows marked as suppressed as a table of their own; the others are returned, unmarked."""
+    marked.where("suppressed").write.mode("overwrite").parquet(path)
+    return marked.where(~F.col("suppressed")).drop("suppressed")
+
+
+def scratch(spark, name: str) -> str:
+    """A new folder's path under the session's spark.checkpoint.dir; a session on one machine that names none gets a temporary one."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="framelake-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
+
+
 def report(df: DataFrame, path: str, kind: str = "json") -> None:
     """A small report as one JSON or CSV file."""
     writer = df.coalesce(1).write.mode("overwrite")
