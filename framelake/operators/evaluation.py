@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import answers_match
@@ -29,6 +30,43 @@ def chain_score(n: int) -> Column:
     return F.when(F.col("video_id") == F.col("gt_video_id"), sum(hits[1:], hits[0]) / n).otherwise(0.0)
 
 
+@dataclass(frozen=True)
+class Task:
+    """One question of a benchmark: what answers it (video_id, frame_id, rank and, for questions, answer), and its truths as (video, first frame, last frame)."""
+
+    name: str
+    kind: str
+    tags: tuple[str, ...]
+    answer: Callable[[], DataFrame]
+    truths: Sequence[tuple[str, int, int]]
+    said: str | None = None
+
+
+def run_tasks(spark: SparkSession, tasks: Sequence[Task], scores: Mapping[str, Callable[[], Column]], cutoffs: Sequence[int] = CUTOFFS) -> DataFrame:
+    """(name, type, tags, score, error) of each task: the mean over cutoffs of the best score so far, by its type's score; a task that fails has 0 and its error."""
+    out = []
+    for task in tasks:
+        try:
+            truth = spark.createDataFrame([(*t, task.said) for t in task.truths], "gt_video_id string, gt_start bigint, gt_end bigint, gt_answer string")
+            answers = task.answer().where(F.col("rank") <= max(cutoffs))
+            judged = answers.join(F.broadcast(truth)).withColumn("_s", scores[task.kind]()).withColumn("_q", F.lit(task.name))  # a few truths
+            best = final_scores(judged, "_q", "rank", "_s", cutoffs).first()
+            out.append((task.name, task.kind, list(task.tags), float(best.final_score) if best else 0.0, None))
+        except Exception as error:  # a task's search may fail in any way; the others are run
+            out.append((task.name, task.kind, list(task.tags), 0.0, f"{type(error).__name__}: {error}"[:500]))
+    return spark.createDataFrame(out, "name string, type string, tags array<string>, score double, error string")
+
+
+def report(spark: SparkSession, results: DataFrame) -> DataFrame:
+    """(kind, name, score, n, failed): means over all tasks, by type and by tag."""
+    facts = F.array(
+        F.struct(F.lit("all").alias("kind"), F.lit("all").alias("name")), F.struct(F.lit("type").alias("kind"), F.col("type").alias("name"))
+    )
+    tags = F.transform("tags", lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("name")))
+    rows = results.select("score", "error", F.explode(F.concat(facts, tags)).alias("x"))
+    return rows.groupBy("x.kind", "x.name").agg(F.avg("score").alias("score"), F.count("*").cast("int").alias("n"), F.count("error").cast("int").alias("failed"))
+
+
 def final_scores(rows: DataFrame, query: str, rank: str, score: str, cutoffs: Sequence[int] = CUTOFFS) -> DataFrame:
     """Per query r_at_k, the best score in the first k answers, and final_score, their mean."""
     best = [F.coalesce(F.max(F.when(F.col(rank) <= k, F.col(score))), F.lit(0.0)).alias(f"r_at_{k}") for k in cutoffs]
