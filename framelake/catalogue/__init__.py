@@ -7,7 +7,7 @@ moment. Each query runs over its whole tables.
 
 from __future__ import annotations
 
-from . import exploration, files, ranking, relations, reports, searches, sequences, texts
+from . import exploration, extras, files, ranking, relations, reports, searches, sequences, texts
 
-QUERIES = {k: v for m in (ranking, relations, sequences, texts, reports, exploration, files, searches) for k, v in m.QUERIES.items()}
-ORACLE = {k: v for m in (ranking, relations, sequences, texts, reports, exploration, files, searches) for k, v in m.ORACLE.items()}
+QUERIES = {k: v for m in (ranking, relations, sequences, texts, reports, exploration, files, searches, extras) for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in (ranking, relations, sequences, texts, reports, exploration, files, searches, extras) for k, v in m.ORACLE.items()}

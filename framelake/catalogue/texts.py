@@ -142,6 +142,12 @@ ORACLE = {
         v AS (SELECT term, label, count(*) AS n FROM a JOIN d ON (contains(' ' || e || ' ', ' ' || term || ' ') OR contains(' ' || term || ' ', ' ' || e || ' '))
             WHERE length(term) >= 3 AND length(e) >= 4 AND term NOT IN (SELECT term FROM x) GROUP BY ALL)
         SELECT * FROM x UNION ALL SELECT term, label FROM v QUALIFY n = max(n) OVER (PARTITION BY term)""",
+    # names share no word with "of the", and no two of them overlap in the invented texts, so only "the" can be taken by a longer term
+    "q_known_terms": f"""WITH t AS (SELECT doc_id, {_NORM.format('text')} AS t FROM documents), n AS (SELECT DISTINCT p_name AS term FROM part WHERE p_name IS NOT NULL),
+        w AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM t WHERE t <> '')
+        SELECT doc_id, term, upper(term) AS label FROM t JOIN n ON contains(' ' || t || ' ', ' ' || term || ' ') AND length(term) >= 3
+        UNION ALL SELECT doc_id, 'of the', 'OF THE' FROM t WHERE contains(' ' || t || ' ', ' of the ')
+        UNION ALL SELECT doc_id, 'the', 'THE' FROM w WHERE len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the' AND (i = 1 OR w[i - 1] <> 'of'))) > 0""",
     "q_synonym_valid": """WITH c AS (SELECT p_brand AS label, min(p_name) AS name FROM part GROUP BY p_brand), k AS (SELECT DISTINCT p_brand AS label, p_name || ' ' || lower(p_type) AS synonym FROM part),
         o AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.label <> k.label AND contains(lower(k.synonym), c.name))), n AS (SELECT synonym, count(DISTINCT label) AS owners FROM o GROUP BY ALL)
         SELECT o.label, o.synonym FROM o JOIN n USING (synonym) JOIN c ON c.label = o.label WHERE owners <= 1 OR o.synonym = c.name""",

@@ -105,6 +105,27 @@ def combine_and(columns: Sequence[str], how: str, weight: float = 0.7, temperatu
     raise ValueError(how)
 
 
+def by_parts(rows: DataFrame, parts: Sequence[str], k: int, key: Sequence[str] = KEY) -> DataFrame:
+    """Rows that are among the k best of any part (a score column), for a closer look at all their parts.
+
+    Each part's pool is a top-k of its own, so what one part misses another may bring.
+    """
+    pools = [top_k(rows.select(*key, F.col(p).alias("score")), k, key=key).select(*key) for p in parts]
+    return rows.join(reduce(lambda a, b: a.unionByName(b), pools).distinct(), list(key), "left_semi")
+
+
+def grounded_options(rows: DataFrame, k: int, vector: str = "vec", seed: int = 11, key: Sequence[str] = KEY) -> DataFrame:
+    """(key, option, likeness): rows in k clusters of their vectors, most like its centre first in each: options to choose from that all exist."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    held = rows.select(*key, vector, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="option").fit(held)
+    centres = F.array(*[literal([float(x) for x in c]) for c in model.clusterCenters()])
+    placed = model.transform(held)
+    return placed.withColumn("likeness", dot(F.col(vector), F.element_at(centres, F.col("option") + 1))).select(*key, "option", "likeness")
+
+
 def comb_sum(pools: Sequence[tuple[str, DataFrame]], key: Sequence[str] = KEY, times_sources: bool = False) -> DataFrame:
     """CombSUM, or CombMNZ with ``times_sources``; source_scores maps each source to its part."""
     rows = reduce(lambda a, b: a.unionByName(b), [p.select(*key, "score").withColumn("source", F.lit(n)) for n, p in pools])

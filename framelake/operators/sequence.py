@@ -83,6 +83,11 @@ def around_segments(frames: DataFrame, time: str, duration: str, margin: float)
     return frames.withColumn("segment_start", F.greatest(F.lit(0.0), F.col(time) - margin)).withColumn("segment_end", F.least(F.col(duration), F.col(time) + margin))
 
 
+def clip_key(video: Column, time: Column, pad: float = 3.0, digits: int = 1) -> Column:
+    """A name for a clip in a cache: clips whose starts round alike share it."""
+    return F.concat_ws("_", video, F.format_string(f"%.{digits}f", F.round(F.greatest(F.lit(0.0), time - pad), digits)))
+
+
 def clip_window(time: Column, pad: float = 3.0) -> Column:
     """struct(start, length) of a clip round a moment."""
     return F.struct(F.greatest(F.lit(0.0), time - pad).alias("start"), F.lit(2 * pad).alias("length"))

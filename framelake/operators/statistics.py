@@ -22,6 +22,23 @@ def labels_per_frame(objects: DataFrame, frames: int, thresholds: Sequence[float
     return label_frames(objects, thresholds).groupBy("threshold").agg((F.sum("n_frames") / F.lit(float(frames))).alias("labels_per_frame"))
 
 
+def crowd(objects: DataFrame) -> DataFrame:
+    """One row: median number of objects in a frame that has any, and the frame with the most (ties: the first by key)."""
+    counts = objects.groupBy(*KEY).agg(F.count("*").alias("n"))
+    order = F.struct((-F.col("n")).alias("n"), *KEY)
+    return counts.agg(F.expr("percentile(n, 0.5)").alias("median"), F.min_by("video_id", order).alias("video_id"), F.min_by("frame_idx", order).alias("frame_idx"), F.max("n").alias("most"))
+
+
+def vocabulary(rows: DataFrame, column: str) -> DataFrame:
+    """The distinct values in order."""
+    return rows.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
+
+
+def commonest(rows: DataFrame, column: str, k: int) -> DataFrame:
+    """(column, n) of the k commonest values; ties in their order."""
+    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
 def percentiles(rows: DataFrame, column: str, points: Sequence[float] = (0.5, 0.75, 0.9, 0.95, 0.99), by: Sequence[str] = ()) -> DataFrame:
     """Exact percentiles, interpolated, as p50, p75, ..."""
     return rows.groupBy(*by).agg(*[F.expr(f"percentile({column}, {p})").alias(f"p{round(p * 100)}") for p in points])

@@ -44,12 +44,15 @@ class Filters:
     boxes: Sequence[dict] = ()
     box_op: str = "and"
     relations: Sequence[tuple[str, str | None, str | None]] = ()
+    #: Groups of labels none of which a frame may have.
+    without: Sequence[Sequence[str]] = ()
 
     def joined(self, other: Filters) -> Filters:
         """Both filters: groups with the greater count, all texts, all boxes."""
         return Filters(
             self.authors or other.authors, self.date_from or other.date_from, self.date_to or other.date_to, tuple(self.keywords_any) or tuple(other.keywords_any),
             merged_groups(self.groups, other.groups), [*self.texts, *other.texts], [*self.boxes, *other.boxes], other.box_op if other.boxes else self.box_op, [*self.relations, *other.relations],
+            [*self.without, *other.without],
         )
 
 
@@ -62,6 +65,9 @@ def candidates(lib: Library, f: Filters) -> DataFrame | None:
     found = filters.combine(lib.frames, videos, keys)
     if f.relations:
         found = by_relations(lib.frames.select(*filters.KEY) if found is None else found, lib.edges, f.relations)
+    for labels in f.without:
+        has = filters.by_label_groups(lib.objects, [(tuple(labels), 1)])
+        found = (lib.frames.select(*filters.KEY) if found is None else found).join(has, filters.KEY, "left_anti")
     return found
 
 

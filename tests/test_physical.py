@@ -90,3 +90,38 @@ def test_windows_have_a_key(plain, tables):
 def test_no_python_in_plans(plain, tables):
     for df in (relations.spatial_edges(tables[1]), temporal.chain_best([tables[0]] * 2), filters.by_labels(tables[1], ["Dog"])):
         assert not re.search("Python|Pandas|Arrow", plain(df))
+
+
+#: Queries whose rows meet in one task because they are a bounded pool (a top-k, ranks in it).
+BOUNDED = {"q_rrf", "q_search_fused", "q_answer_question", "q_submission_qa", "q_comb_mnz"}
+
+
+def one_task(plan):
+    """Exchanges to one partition that carry rows, not an aggregate's or a limit's."""
+    lines = plan.splitlines()
+    found = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line and not line.strip().startswith(("(", "Arguments")):
+            above = " ".join(lines[max(0, i - 3) : i])
+            if "Window" in above or re.search(r"Sort \[", above):
+                found.append(above.strip()[:200])
+    return found
+
+
+def test_no_window_without_a_key(plain, spark, sf_dir):
+    from framelake.catalogue import QUERIES
+
+    bad = {n: x for n, q in QUERIES.items() if n not in BOUNDED and (x := one_task(plain(q(spark, sf_dir))))}
+    assert not bad, bad
+
+
+def test_one_join_makes_pairs(plain, tables, spark):
+    types = spark.createDataFrame([("Dog", ["animal"]), ("Cat", ["animal"])], "label string, categories array<string>")
+    registry = relations.registry(spark)
+    for df in (relations.spatial_edges(tables[1]), relations.gate_pairs(tables[1], types, registry)):
+        plan = plain(df)
+        assert len(re.findall(r"Join \[video_id#\d+, frame_idx#\d+\]", plan)) == 1 and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert plain(relations.spatial_edges(tables[1])).count("greatest(") <= 40  # geometry is written once
+    claims = spark.createDataFrame([("v1", 1, 1, 2, "riding", 0.9)], "video_id string, frame_idx int, subj_id bigint, obj_id bigint, relation string, conf double")
+    plan = plain(relations.crosscheck_objects(claims, tables[1]))
+    assert not re.search(r"Join \[video_id#\d+, frame_idx#\d+\]", plan)
