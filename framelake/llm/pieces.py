@@ -131,16 +131,16 @@ def _words_apart(model: Model) -> bool:
     return not model.suffix_space and not any(t == NORMAL and SPACE in p.lstrip(SPACE) for p, _, t in model.pieces)
 
 
-def build_tokenizer(model: Model, cache: int = 10_000):
-    """A tokenizers-library tokenizer that encodes as the model says; ``cache``: how many words the library remembers."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+def build_tokenizer(model: Model):
+    """A tokenizers-library tokenizer that encodes as the model says. A text is one sequence to it, as it is to the model: no cutting into words, no cache of them."""
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     if model.kind == UNIGRAM:
         # names of control, unknown and byte pieces that stand in a text are no pieces there: no best path has them
         core = models.Unigram([(p, s if t in (NORMAL, USER_DEFINED) else NEVER) for p, s, t in model.pieces], unk_id=model.unk_id, byte_fallback=model.byte_fallback)
     elif model.kind == BPE:
         vocabulary = {p: i for i, (p, _, _) in enumerate(model.pieces)}
-        core = models.BPE(vocabulary, merges(model), unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=cache)
+        core = models.BPE(vocabulary, merges(model), unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)
     else:
         raise ValueError("only unigram and BPE models can be rebuilt")
     tokenizer = Tokenizer(core)
@@ -152,8 +152,6 @@ def build_tokenizer(model: Model, cache: int = 10_000):
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(SPACE))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    if _words_apart(model):
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"), "isolated")
     tokenizer.decoder = decoders.Sequence(
         [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])]
     )
@@ -190,6 +188,8 @@ class Codec:
         self.tokenizer, self.reference, self.threads = build_tokenizer(model), _reference(data), threads
         self.exact = not model.charsmap and not model.strip_extra
         self.prefix = model.dummy_prefix
+        self.bytes = pa.array([bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, _, t in model.pieces], pa.binary())
+        self.sizes = np.array([len(b) for b in self.bytes.to_pylist()], dtype=np.int64)
         self.cuts = _words_apart(model) and self.exact and model.escape and model.dummy_prefix
 
     def parts(self, text: str) -> list[str]:
@@ -202,12 +202,17 @@ class Codec:
                 at = m.end()
         return [*out, text[at:]]
 
-    def normalised(self, text: str) -> str:
-        """The text that right ids decode to."""
+    def normalised(self, text: str) -> bytes:
+        """The bytes of the pieces that a text's ids stand for."""
         if self.exact:
-            return text
-        own = self.tokenizer.normalizer.normalize_str(text).replace(SPACE, " ")
-        return own.removeprefix(" ") if self.prefix else own
+            return (" " + text if self.prefix and text else text).encode("utf-8", "surrogatepass")
+        return self.tokenizer.normalizer.normalize_str(text).replace(SPACE, " ").encode("utf-8", "surrogatepass")
+
+    def come_back(self, ids: np.ndarray, counts: np.ndarray, texts: list[str]) -> list[bool]:
+        """Whether each text's pieces, joined, are the text as normalised: a look-up of all ids at once, which :meth:`decode` agrees with."""
+        joined = memoryview(self.bytes.take(pa.array(ids)).buffers()[2] or b"").cast("B")
+        ends = np.r_[0, np.cumsum(self.sizes[ids])][np.r_[0, np.cumsum(counts)]].tolist()
+        return [joined[a:b] == self.normalised(t) for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)]
 
     def checked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool | None], list[bool]]:
         """(ids of all texts, ids per text, equal to the reference's, decoded to the normalised text)."""
@@ -218,11 +223,12 @@ class Codec:
             same = [None] * len(flat)
         else:
             same = [a == b for a, b in zip(own, self.reference.encode(flat, num_threads=self.threads), strict=True)]
-        back = [d == self.normalised(p) for d, p in zip(self.decode(own), flat, strict=True)]
+        counts = np.array([len(x) for x in own], dtype=np.int64)
+        ids = np.concatenate([np.array(x, dtype=np.int32) for x in own]) if own else np.empty(0, np.int32)
+        back = self.come_back(ids, counts, flat)
         ends = np.cumsum([0, *map(len, cut)])
         every = lambda x: [None if None in x[a:b] else all(x[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        sizes = np.add.reduceat(np.array([len(x) for x in own], dtype=np.int64), ends[:-1]) if texts else np.empty(0, np.int64)
-        return np.fromiter((i for x in own for i in x), np.int32), sizes, every(same), every(back)
+        return ids, np.add.reduceat(counts, ends[:-1]) if texts else counts, every(same), every(back)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         flat, sizes, _, _ = self.checked(texts)

@@ -148,3 +148,14 @@ def test_a_unigram_model_of_real_size(spark, sf_dir, data):
     differ = [(o, e) for o, e, p in zip(own, expected, parity, strict=True) if not p]
     assert len(differ) <= 10 and all(0 <= total(o) - total(e) + 1e-6 < 1e-2 for o, e in differ)
     assert all(back[i] for i, t in enumerate(texts) if "▁" not in t) and len(flat) == sum(map(len, expected))
+
+
+def test_joined_pieces_are_what_the_library_decodes(data):
+    codec = Codec(data)
+    texts = [t for t in hard_texts() if "▁" not in t]
+    ids = codec.encode(texts)
+    assert codec.decode(ids) == texts and codec.decode(ids) == codec.reference.decode(ids)
+    flat, counts = np.array([i for x in ids for i in x], dtype=np.int32), np.array([len(x) for x in ids])
+    assert codec.come_back(flat, counts, texts) == [True] * len(texts)
+    wrong = [t + "!" if i % 2 else t for i, t in enumerate(texts)]
+    assert codec.come_back(flat, counts, wrong) == [not i % 2 for i in range(len(texts))]
