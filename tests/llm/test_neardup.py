@@ -111,3 +111,51 @@ def test_matches_follow_the_likeness():
     assert (needed_matches(85), needed_matches(80), needed_matches(100)) == (40, 35, 64)
     with pytest.raises(ValueError):
         near_duplicates(None, None, percent=10)
+
+
+def exact_components(rows, percent):
+    """By an inverted index over all shingles: every pair that shares one is counted, none is estimated."""
+    from collections import Counter, defaultdict
+
+    found = dict(zip([r[0] for r in rows], sets(rows), strict=True))
+    postings = defaultdict(list)
+    for i, s in found.items():
+        for x in s:
+            postings[x].append(i)
+    common = Counter((a, b) for own in postings.values() for k, a in enumerate(own) for b in own[k + 1 :])
+    root = {i: i for i in found}
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    links = 0
+    for (a, b), n in common.items():
+        if 100 * n >= percent * (len(found[a]) + len(found[b]) - n):
+            links += 1
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    return {i: top(i) for i in found}, links
+
+
+def test_against_an_exact_join(spark):
+    """Pairs at exactly 0.85 and just below it, short texts, a passage that many share; all links of 6,000 texts against an index of all shingles."""
+    import random
+
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(40_000)}"
+    passage = [word() for _ in range(30)]
+    texts = []
+    for k in range(1500):
+        long, short = [word() for _ in range(104)], [word() for _ in range(24)]
+        texts += [long, long[:89], short, short[:21]]  # 85 of 100 and 17 of 20 shingles
+        if k % 5 == 0:
+            texts += [long[:88], long[:50] + passage + long[50:], [w.upper() for w in long]]  # 84 of 100; a shared passage; the same but for case
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t), "s", 0) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark, frame).collect()}
+    want, links = exact_components(rows, 85)
+    assert links > 3500 and sum(got[i] != want[i] for i in want) == 0
