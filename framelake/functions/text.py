@@ -69,13 +69,26 @@ def ordered_words_pattern(needle: str) -> str:
 
 
 def ordered_words(text: Column, needle: str) -> Column:
-    """Whether the needle's words are an ordered subsequence of the text's words."""
+    """Whether the needle's words are an ordered subsequence of the text's words.
+
+    Each word is searched for, between blanks, after the one before it; no text
+    is cut into words.
+    """
     words = needle.split()
     if not words:
         return text.isNotNull()
+    padded = F.concat(F.lit(" "), F.translate(text, "\t\n\x0b\f\r", "     "), F.lit(" "))
+    if len(words) == 1:
+        return F.contains(padded, F.lit(f" {words[0]} "))
+
+    def after(held: Column, at: Column, w: Column) -> Column:
+        """The place from which the next word may begin (its blank), or 0 when a word was missing."""
+        place = F.call_function("locate", F.concat(F.lit(" "), w, F.lit(" ")), held, at)
+        return F.when((at == 0) | (place == 0), 0).otherwise(place + F.length(w) + 1)
+
     need = F.array(*map(F.lit, words))
-    found = F.aggregate(F.split(text, r"\s+"), F.lit(0), lambda i, w: F.when(w == F.get(need, i), i + 1).otherwise(i))
-    return found == len(words)
+    reached = F.transform(F.array(padded), lambda held: F.aggregate(need, F.lit(1), lambda at, w: after(held, at, w)))[0]
+    return F.when(text.isNotNull(), reached > 0)
 
 
 def ordered_words_of(text: Column, needle: Column) -> Column:

@@ -124,10 +124,14 @@ def axis_statistics(rows: DataFrame, column: str) -> DataFrame:
 
 def bm25(documents: DataFrame, terms: Sequence[str], key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the rows that have any of the terms, as blank-separated words."""
-    words = documents.select(key, F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("words"))
-    facts = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    count = lambda t: F.struct(F.lit(t).alias("term"), F.size(F.filter("words", lambda w: w == t)).cast("double").alias("tf"))
-    found = words.select(key, F.size("words").alias("size"), F.filter(F.array(*map(count, dict.fromkeys(terms))), lambda x: x["tf"] > 0).alias("found"))
+    rows = documents.select(key, F.col(text).alias("_t"), F.regexp_count(F.col(text), F.lit(r"\S+")).alias("size"))
+    facts = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+
+    def count(term: str) -> Column:
+        whole = F.regexp_count(F.col("_t"), F.lit(rf"(?<!\S)\Q{term}\E(?!\S)"))
+        return F.struct(F.lit(term).alias("term"), F.when(F.contains(F.col("_t"), F.lit(term)), whole).otherwise(0).cast("double").alias("tf"))
+
+    found = rows.select(key, "size", F.filter(F.array(*map(count, dict.fromkeys(terms))), lambda x: x["tf"] > 0).alias("found"))
     hits = found.select(key, "size", F.explode("found").alias("x")).select(key, "size", "x.*")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(facts.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))

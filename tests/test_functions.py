@@ -81,3 +81,18 @@ def test_vectors(spark):
     a = F.array(F.lit(3.0), F.lit(4.0))
     assert one(spark, v.dot(a, v.literal([1, 2]))) == 11.0 and one(spark, v.unit(a)) == [0.6, 0.8] and one(spark, v.unit(v.literal([0, 0]))) == [0.0, 0.0]
     assert one(spark, v.nudge(a, v.literal([1, 1]), 0.5)) == [2.0, 2.5]
+
+
+def test_ordered_words_are_whole_words_in_order(spark):
+    from framelake.functions import text
+
+    texts = ["a b c", "b a", "ab c", "a\tb\n\nc", "a a b", " a  b ", "", None, "c b a b", "a.b", "xa b", "A b", "é a é b"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+
+    def slow(t, words):
+        at = iter(t.split())
+        return all(any(w == x for x in at) for w in words)
+
+    for needle in ("a b", "a", "a a", "a b c", "b", "é b", "a.b"):
+        got = {r.i: r.hit for r in frame.select("i", text.ordered_words(frame["t"], needle).alias("hit")).collect()}
+        assert got == {i: None if t is None else slow(t, needle.split()) for i, t in enumerate(texts)}, needle
