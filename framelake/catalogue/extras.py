@@ -181,6 +181,33 @@ def q_margin_summary(spark, d):
     return found.select(*[F.round(c, 6).alias(c) for c in ("mean", "median", "negative_share")])
 
 
+def q_monitor(spark, d):
+    """Two steps' results compared: unchanged, flat, empty, late."""
+    q, rows = query_vector(spark, d), frames(spark, d)
+    first = ranking.rank_vectors(rows, q, 20, digits=6)
+    second = ranking.rank_vectors(rows.where("label <> 2"), q, 20, digits=6)
+    none = rows.where("label < 0").withColumn("score", F.lit(0.0))
+    steps = [evaluation.monitor(first, first), evaluation.monitor(second, first, took=8.0, budget=10.0), evaluation.monitor(none, first)]
+    out = steps[0].unionByName(steps[1]).unionByName(steps[2])
+    return out.select("n", F.round("jaccard", 6).alias("jaccard"), F.round("spread", 6).alias("spread"), "empty", "unchanged", "is_flat", "late")
+
+
+def q_expected_share(spark, d):
+    """What each filter of a plan leaves."""
+    rows, o = frames(spark, d), objects(spark, d)
+    asked = {"label": rows.where("label = 3"), "dead": rows.where("label > 99"), "objects": rows.join(filters.by_labels(o, ["AF"]), _KEY, "left_semi")}
+    return evaluation.expected_share(rows, asked).select("step", F.round("share", 6).alias("share"))
+
+
+def q_label_audit(spark, d):
+    """Labels whose crops are least like their text first."""
+    o, rows = objects(spark, d), frames(spark, d)
+    regions = o.select("detection_id", ((F.col("detection_id") / 10).cast("bigint") % 500).cast("int").alias("i")).join(rows.select(F.col("frame_idx").alias("i"), "vec"), "i")
+    texts = o.groupBy("label").agg(F.min("frame_idx").alias("_m")).select("label", (F.length("label") + F.ascii("label")).alias("i")).join(rows.select(F.col("frame_idx").alias("i"), "vec"), "i")
+    found = evaluation.label_audit(o, regions, texts, 40, sequence.portable_hash(F.col("detection_id") % 1000003))
+    return found.select("label", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+
+
 def q_resolve_frames(spark, d):
     """results' frames as moments of their videos."""
     rows = frames(spark, d).select(*_KEY, (F.col("frame_idx") / 25.0).alias("pts_time"))
@@ -249,6 +276,16 @@ ORACLE = {
     "q_reweighted": sql("frames", ", w AS (SELECT label, (frame_idx + 1) * CASE WHEN label = 2 THEN 9e-1 ELSE 1e-1 END AS b FROM frames) SELECT label, round(sum(b) / (SELECT sum(b) FROM w), 6) AS belief FROM w GROUP BY label"),
     "q_margin_summary": sql("moments", """, m AS (SELECT video_id, max(score) FILTER (WHERE event_type = 'purchase') - max(score) FILTER (WHERE event_type <> 'purchase') AS m FROM moments GROUP BY ALL)
         SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.5), 6) AS median, round(avg(CAST(m < 0 AS INTEGER)), 6) AS negative_share FROM m"""),
+    "q_monitor": sql("frames q", """, s AS (SELECT video_id, frame_idx, label, round(list_dot_product(vec, qv), 6) AS score FROM frames, q), a AS (SELECT * FROM s ORDER BY score DESC, video_id, frame_idx LIMIT 20),
+        b AS (SELECT * FROM s WHERE label <> 2 ORDER BY score DESC, video_id, frame_idx LIMIT 20), x AS (SELECT count(*) AS n FROM a SEMI JOIN b USING (video_id, frame_idx)),
+        f AS (SELECT count(*) AS n, 1e0 AS jaccard, (max(score) - min(score)) / max(score) AS spread, false AS late FROM a UNION ALL
+              SELECT count(*), (SELECT n / CAST((SELECT count(*) FROM a) + (SELECT count(*) FROM b) - n AS DOUBLE) FROM x), (max(score) - min(score)) / max(score), true FROM b UNION ALL SELECT 0, 0e0, NULL, false)
+        SELECT n, round(jaccard, 6) AS jaccard, round(spread, 6) AS spread, n = 0 AS empty, jaccard > 9e-1 AS unchanged, coalesce(spread < 5e-2, false) AS is_flat, late FROM f"""),
+    "q_expected_share": sql("frames objects", """, t AS (SELECT CAST(count(*) AS DOUBLE) AS t FROM frames) SELECT 'label' AS step, round(count(*) / any_value(t), 6) AS share FROM frames, t WHERE label = 3
+        UNION ALL SELECT 'dead', 0e0 UNION ALL SELECT 'objects', round((SELECT count(*) FROM frames f SEMI JOIN (SELECT * FROM objects WHERE label = 'AF') o ON f.video_id = o.video_id AND f.frame_idx = o.frame_idx) / t, 6) FROM t"""),
+    "q_label_audit": sql("objects frames", """, c AS (SELECT label, detection_id FROM objects QUALIFY row_number() OVER (PARTITION BY label ORDER BY (detection_id % 1000003 * 7919 + 42 * 104729) % 1000003, detection_id) <= 40),
+        p AS (SELECT c.label, list_dot_product(f.vec, g.vec) AS s FROM c JOIN frames f ON f.frame_idx = c.detection_id // 10 % 500 JOIN frames g ON g.frame_idx = length(c.label) + ascii(c.label))
+        SELECT label, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS std, count(*) AS n FROM p GROUP BY label"""),
     "q_resolve_frames": sql("frames q", " SELECT video_id, frame_idx, frame_idx / 25e0 AS pts_time FROM frames, q ORDER BY list_dot_product(vec, qv) DESC, video_id, frame_idx LIMIT 10"),
     "q_event_chain": "SELECT n_nationkey AS place, n_name AS name FROM nation",
     "q_step_log": "SELECT 'frames' AS step, CAST(count(*) AS VARCHAR) AS detail, true AS timed FROM embeddings UNION ALL SELECT 'caption', '[''Dog'']', true",

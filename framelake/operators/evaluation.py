@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import answers_match
+from ..functions.vectors import dot
+from .sequence import sample_per_key
 
 CUTOFFS = (1, 5, 20, 50, 100)
 
@@ -117,3 +120,36 @@ def same_results(one: DataFrame, other: DataFrame, key: Sequence[str], k: int) -
     """The Jaccard likeness of two top-k lists (at most 2k keys reach the driver)."""
     a, b = ({tuple(r) for r in d.limit(k).select(*key).collect()} for d in (one, other))
     return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def monitor(one: DataFrame, before: DataFrame | None = None, key: Sequence[str] = ("video_id", "frame_idx"), score: str = "score", k: int = 20, same: float = 0.9, flat: float = 0.05, took: float = 0.0, budget: float | None = None, used: float = 0.7) -> DataFrame:
+    """One row on a step's ranked results: n, jaccard with the step before, spread of the k best scores, and the flags empty, unchanged, is_flat, late.
+
+    Both lists are top-k results. The spread is (best - last) / best.
+    """
+    top = one.orderBy(F.desc(score), *key).limit(k)
+    facts = top.agg(F.count("*").alias("n"), ((F.max(score) - F.min(score)) / F.when(F.max(score) != 0, F.max(score))).alias("spread"))
+    if before is None:
+        alike = F.lit(None).cast("double")
+    else:
+        other = before.orderBy(F.desc(score), *key).limit(k).select(*key)
+        both = top.select(*key).withColumn("a", F.lit(1)).join(other.withColumn("b", F.lit(1)), list(key), "full")
+        alike = both.agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)) / F.greatest(F.count("*"), F.lit(1))).scalar()
+    late = budget is not None and took > used * budget
+    rows = facts.withColumn("jaccard", alike)
+    return rows.select("n", "jaccard", "spread", (F.col("n") == 0).alias("empty"), F.coalesce(F.col("jaccard") > same, F.lit(False)).alias("unchanged"), F.coalesce(F.col("spread") < flat, F.lit(False)).alias("is_flat"), F.lit(late).alias("late"))
+
+
+def expected_share(frames: DataFrame, filtered: Mapping[str, DataFrame], key: Sequence[str] = ("video_id", "frame_idx")) -> DataFrame:
+    """(step, share): how much of the corpus each filter leaves, by keys alone: 0 is a dead end, near 1 a useless filter."""
+    every = frames.agg(F.count("*")).scalar()
+    shares = [keys.select(*key).distinct().agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), (F.col("n") / every).alias("share")) for step, keys in filtered.items()]
+    return reduce(lambda a, b: a.unionByName(b), shares)
+
+
+def label_audit(objects: DataFrame, region_vectors: DataFrame, label_vectors: DataFrame, n: int, order: Column) -> DataFrame:
+    """(label, mean, std, n) of how alike the crops of a label and its own text are, over at most ``n`` crops a label, the least alike first."""
+    chosen = sample_per_key(objects.select("label", "detection_id"), ["label"], n, order, ["detection_id"])
+    pairs = chosen.join(region_vectors.select("detection_id", "vec"), "detection_id").join(label_vectors.select("label", F.col("vec").alias("text_vec")), "label")
+    alike = pairs.withColumn("alike", dot(F.col("vec"), F.col("text_vec")))
+    return alike.groupBy("label").agg(F.avg("alike").alias("mean"), F.stddev("alike").alias("std"), F.count("*").alias("n")).orderBy("mean", "label")
