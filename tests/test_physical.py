@@ -93,7 +93,7 @@ def test_no_python_in_plans(plain, tables):
 
 
 #: Queries whose rows meet in one task because they are a bounded pool (a top-k, ranks in it).
-BOUNDED = {"q_rrf", "q_search_fused", "q_answer_question", "q_submission_qa", "q_comb_mnz"}
+BOUNDED = {"q_rrf", "q_monitor", "q_search_fused", "q_answer_question", "q_submission_qa", "q_comb_mnz"}
 
 
 def one_task(plan):
