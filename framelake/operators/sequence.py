@@ -143,8 +143,8 @@ def sample_per_key(rows: DataFrame, by: Sequence[str], n: int, order: Column, ke
 
 
 def portable_hash(value: Column, seed: int = 42) -> Column:
-    """A number in [0, 1000003) that any SQL engine computes alike; for samples."""
-    return (value * 7919 + seed * 104729) % 1000003
+    """A number in [0, 1000003) that any SQL engine computes alike; for samples. Computed in 64 bits; the first remainder keeps any such value from overflowing."""
+    return (value.cast("bigint") % 1000003000000 * 7919 + seed * 104729) % 1000003
 
 
 def fixed_chunks(rows: DataFrame, total: str, seconds: float = 28.0) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import boosts, dictionary, evaluation, filters, ranking, relations, sequence, statistics, temporal
+from framelake.operators import boosts, dictionary, evaluation, exploration, filters, ranking, relations, sequence, statistics, temporal
 
 KEYS = "video_id string, frame_idx int"
 
@@ -169,6 +169,25 @@ def test_strides_shards_and_chunks(spark):
     assert [(r.chunk_start, r.chunk_end) for r in got] == [(0.0, 28.0), (28.0, 56.0), (56.0, 60.0), (0.0, 28.0)]
 
 
+def test_portable_hash_of_large_numbers(spark):
+    values = [0, 1, 270626, 270627, 675667, 2**31 - 1, -5, -(2**31)]
+    small = spark.createDataFrame([(v,) for v in values], "v int").select("v", sequence.portable_hash(F.col("v")).alias("h"))
+    large = spark.createDataFrame([(v,) for v in (*values, 2**40, 2**63 - 1)], "v bigint").select("v", sequence.portable_hash(F.col("v")).alias("h"))
+    exact = lambda v: (abs(v * 7919 + 42 * 104729) % 1000003) * (1 if v * 7919 + 42 * 104729 >= 0 else -1)
+    for rows in (small, large):
+        assert all(r.h == exact(r.v) for r in rows.collect())
+
+
+def test_pilot_frames_of_long_archives(spark):
+    rows = [("v", i, ["feeding"] if i % 2 else ["holding"]) for i in range(300_000, 300_020)]
+    pairs = spark.createDataFrame(rows, "video_id string, frame_idx int, allowed_relations array<string>")
+    got = exploration.pilot_frames(pairs, ["feeding"], 6, sequence.portable_hash(F.col("frame_idx"))).collect()
+    order = lambda i: (i * 7919 + 42 * 104729) % 1000003
+    first = sorted((i for _, i, _ in rows if i % 2), key=order)[:3]
+    rest = sorted((i for _, i, _ in rows if i not in first), key=order)[:3]
+    assert [r.frame_idx for r in got] == first + rest and [r.rare for r in got] == [i % 2 == 1 for i in first + rest]
+
+
 def test_carry(spark):
     rows = spark.createDataFrame([(1, None), (2, "a"), (3, "b"), (4, None)], "rank int, answer string").withColumn("k", F.lit(1))
     values = lambda **k: [r.answer for r in sequence.carry(rows, "answer", ["rank"], ["k"], **k).orderBy("rank").collect()]
