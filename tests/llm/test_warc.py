@@ -4,7 +4,7 @@ import hashlib
 import pytest
 
 from framelake.llm.common import Workspace
-from framelake.llm.warc import _Records, as_responses, read_archives, warc_revisits, write_archives
+from framelake.llm.warc import _Records, as_responses, read_archives, record_text, warc_revisits, write_archives
 
 BIG = "x" * 1500
 TRICKY = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + "y" * 1000 + "\r\n"
@@ -64,6 +64,19 @@ def test_archives_are_warc_files(spark, tmp_path):
     assert back[0].record_id.startswith("<urn:uuid:") and back[0].record_id != back[1].record_id
 
 
+def test_archives_are_deflated_at_a_low_level(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    words = [hashlib.sha1(str(n).encode()).hexdigest()[: 3 + n % 6] for n in range(500)]
+    html = " ".join(words[int(hashlib.sha1(f"w{n}".encode()).hexdigest(), 16) % 500] for n in range(60_000))
+    records = as_responses(pages(spark, [(1, "http://a", html, "", "")]).coalesce(1), "page_id", "url", "html", "2024-01-01T00:00:00Z")
+    write_archives(records, str(tmp_path / "out"), F.lit(False))
+    records.select(record_text(F.lit(False)).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(str(tmp_path / "default"))
+    (low,), (default,) = ([p.read_bytes() for p in (tmp_path / d).glob("*.gz")] for d in ("out", "default"))
+    assert gzip.decompress(low) == gzip.decompress(default)
+    assert len(default) < len(low) < 1.5 * len(default)  # the default level costs several times the CPU seconds
+
+
 @pytest.mark.parametrize("cut", [1, 5, 40])
 def test_a_cut_archive_loses_only_its_last_record(cut):
     record = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 50\r\n\r\n" + b"q" * 50 + b"\r\n\r\n"
